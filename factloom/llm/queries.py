@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.bpe import encode, token_counts
 from factloom.llm.components import record_groups
 from factloom.llm.glyphs import look_alike_pairs
 from factloom.llm.mentions import mentions
+from factloom.llm.packing import fill_report, pack
 from factloom.session import table
 
 
@@ -29,7 +31,20 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return record_groups(facts.unionByName(tasks)).select("record_id", "group_id")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p9_packing(spark: SparkSession, sf: str) -> DataFrame:
+    counts = token_counts(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return pack(counts, table(spark, sf, "packing_profiles"), "doc_id")
+
+
+def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_report(p9_packing(spark, sf), table(spark, sf, "packing_profiles"))
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill}
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _THIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
