@@ -9,6 +9,7 @@ from factloom.llm.bpe import encode, token_counts
 from factloom.llm.components import record_groups
 from factloom.llm.glyphs import look_alike_pairs
 from factloom.llm.mentions import mentions
+from factloom.llm.names import variant_pairs
 from factloom.llm.packing import fill_report, pack
 from factloom.session import table
 
@@ -31,6 +32,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return record_groups(facts.unionByName(tasks)).select("record_id", "group_id")
 
 
+ENTITY_NAMES = ["entity_id", "canonical_name", "source_entity_type", "semantic_entity_type", "aliases_json"]
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    named = mentions(table(spark, sf, "page001_5_35").select("page_id", "vote", "parsed"))
+    return variant_pairs(table(spark, sf, "v2_entities").select(*ENTITY_NAMES), named)
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -44,7 +53,7 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(p9_packing(spark, sf), table(spark, sf, "packing_profiles"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill}
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _THIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
