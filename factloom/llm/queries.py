@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from factloom.llm.bpe import encode, token_counts
 from factloom.llm.components import record_groups
+from factloom.llm.consensus import clean_votes, consensus, item_agreement, named_by_most
 from factloom.llm.glyphs import look_alike_pairs
 from factloom.llm.mentions import mentions
-from factloom.llm.names import variant_pairs
+from factloom.llm.names import name_groups, record_forms, variant_pairs
 from factloom.llm.packing import fill_report, pack
-from factloom.session import table
+from factloom.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,6 +41,48 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return variant_pairs(table(spark, sf, "v2_entities").select(*ENTITY_NAMES), named)
 
 
+VOTE_LABELS = ["AFTER_BETTER", "BEFORE_BETTER", "BOTH_WRONG", "INSUFFICIENT_EVIDENCE"]
+
+
+def _votes(spark: SparkSession, sf: str) -> DataFrame:
+    return clean_votes(table(spark, sf, "closure3_votes"), "task_id", "rater_id", "label", VOTE_LABELS, "cast_at")
+
+
+def _page_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities that most passes of a page name, in whatever characters or spelling."""
+    pages = table(spark, sf, "page001_5_35").select("page_id", "vote", "parsed")
+    own, said, named, aliases = record_forms(table(spark, sf, "v2_entities").select(*ENTITY_NAMES), mentions(pages))
+    groups = name_groups(named, aliases)
+    group_of = lambda df: df.join(groups, "form", "left").withColumn("group", F.coalesce("group", "form"))
+    known = group_of(own).select("group", "entity_id").distinct()
+    naming = group_of(said).join(known, "group").select("page_id", "vote", "entity_id")
+    return named_by_most(pages.filter(F.col("parsed").isNotNull()), naming, "page_id", "vote", "entity_id")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """A task without any valid vote gets the label that is the consensus of most tasks."""
+    votes = cut(_votes(spark, sf))
+    best, _ = consensus(votes, VOTE_LABELS)
+    usual = best.groupBy("consensus").count().orderBy(F.desc("count"), "consensus").first()
+    tasks = table(spark, sf, "closure3_votes").select(F.col("task_id").alias("item")).dropna().distinct()
+    voted = tasks.join(best, "item", "left").select(F.col("item").alias("item_id"), F.coalesce("consensus", F.lit(usual[0] if usual else None)).alias("label"))
+    pages = _page_consensus(spark, sf).select(F.col("page_id").cast("string").alias("item_id"), F.col("entity_id").alias("label"))
+    return voted.unionByName(pages)
+
+
+def p7_raters(spark: SparkSession, sf: str) -> DataFrame:
+    """Reliability of each rater, and the share of its votes that are the consensus."""
+    votes = cut(_votes(spark, sf))
+    best, reliability = consensus(votes, VOTE_LABELS)
+    hits = votes.join(best, "item").groupBy("rater").agg(F.round(F.avg((F.col("label") == F.col("consensus")).cast("double")), 6).alias("consensus_share"))
+    return reliability.join(hits, "rater").withColumnRenamed("rater", "rater_id")
+
+
+def p7_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    votes = cut(_votes(spark, sf))
+    return item_agreement(votes, consensus(votes, VOTE_LABELS)[0])
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
@@ -53,7 +96,7 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(p9_packing(spark, sf), table(spark, sf, "packing_profiles"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_raters": p7_raters, "p7_agreement": p7_agreement, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill}
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _THIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
