@@ -45,6 +45,7 @@ _AT_SIGN = re.compile(r"[ ]?[@＠﹫][ ]?")
 _AT_DOT = re.compile(r"[ ]?[\[({][ ]?(?:(?P<at>at)|dot)[ ]?[\])}][ ]?", re.IGNORECASE)
 _AT_DOT_HINT = re.compile(r"[\[({] ?(?:at|dot|AT|DOT|At|Dot)")
 _HAN_RUN = re.compile(rf"[{CJK_DIGITS}零○]{{7,}}")
+_WORD_HINTS = [f"{a}{gap}{b}" for a in (*_WORDS, "oh") for gap in " -" for b in "zotfsen"]
 _WORD_RUN = re.compile(rf"(?<![a-z]){_DIGIT_WORD}(?:[ -]{_DIGIT_WORD}){{6,}}(?![a-z])", re.IGNORECASE)
 _HAN = {c: str(i) for i, c in enumerate(CJK_DIGITS)} | {"零": "0", "○": "0"}
 
@@ -57,7 +58,8 @@ def _disguises(source: str) -> list[tuple[int, int, str]]:
     if _AT_DOT_HINT.search(source):
         found += [(*m.span(), "@" if m["at"] else ".") for m in _AT_DOT.finditer(source)]
     found += [(*m.span(), "".join(_HAN[c] for c in m[0])) for m in _HAN_RUN.finditer(source)]
-    for m in _WORD_RUN.finditer(source):
+    low = source.lower() if "o" in source or "e" in source else ""
+    for m in _WORD_RUN.finditer(source) if any(w in low for w in _WORD_HINTS) else ():
         words = re.split("[ -]", m[0].lower())
         found.append((*m.span(), "".join("0" if w == "oh" else str(_WORDS.index(w)) for w in words)))
     return sorted(found, key=lambda x: (x[0], -x[1]))
@@ -104,10 +106,11 @@ L = "A-Za-zÀ-ÖØ-öø-ɏ̀-ͯ"
 UP = "A-ZÀ-ÖØ-Þ"
 _EMAIL_USER = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*$")
 _EMAIL_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-_DIGIT_RUN = re.compile(r"\d[\d ()（）.-]{6,}")
-_LETTER_ID = re.compile(r"[A-Z]{2} ?\d\d")
-_HOUSE = re.compile(r"[\d一二三四五六七八九十百]号")
-_LATIN_HOUSE = re.compile(rf"(?:{'|'.join(UNIT_LATIN.split())})\.? \d|\d{{1,5}}[A-Z]? [{UP}]|P\. ?O\. Box")
+_DIGIT_RUN = re.compile(r"[0-9][0-9 ()（）.-]{6,}")
+_LETTER_ID = re.compile(r"[A-Z]{2} ?[0-9]{2}")
+_HOUSE = re.compile(r"[0-9一二三四五六七八九十百]号")
+_LATIN_HOUSE = re.compile(rf"[0-9][A-Z]? [{UP}][a-z]|P\. ?O\. Box")
+_LATIN_FROM = re.compile(rf"(?:(?:{'|'.join(UNIT_LATIN.split())})\.? [0-9]+[A-Z]?, )?[0-9]*$")
 _CAPITAL = re.compile(r"[A-Z][A-Za-z.]")
 _PHONE = re.compile(
     r"(?<![\dA-Za-z@/.-])(?:"
@@ -151,10 +154,13 @@ _CJK_NAMED = [
     re.compile(rf"(?:[由据]|整理，)(?P<n>{_LATIN}|{_CJK_NAME[:-1]}?))(?=先生|女士|同志|整理|校订|口述|记录|提供|回忆|讲述)"),
 ]
 _RECEIVES, _BEFORE_RECEIVES = re.compile(r"收(?=[。，；\s]|$)"), re.compile(rf"[，,](?P<n>{_NAME})$")
+_TITLE = f"(?:{'|'.join(TITLES_LATIN.split())})"
 _LATIN_NAMED = [
-    re.compile(rf"(?:Contact:|Interview with|Transcribed by|[Cc]hecked by|[Cc]opied by|[Dd]onor,|[Ss]igned(?: by)?|Name:|(?<!\w)(?:{'|'.join(TITLES_LATIN.split())})\.?) (?:(?:{'|'.join(TITLES_LATIN.split())})\.? )?(?P<n>{_LATIN})"),
-    re.compile(rf"(?<![\w-])(?P<n>(?:{_GIVEN}) (?:[{UP}]\. |(?:{_GIVEN}) )?{_SURNAME})"),
+    re.compile(rf"(?:Contact:|Interview with|Transcribed by|[Cc]hecked by|[Cc]opied by|[Dd]onor,|[Ss]igned(?: by)?|Name:) (?:{_TITLE}\.? )?(?P<n>{_LATIN})"),
+    re.compile(rf"{_TITLE}\.? (?P<n>{_LATIN})"),
+    re.compile(rf"(?P<n>(?:{_GIVEN}) (?:[{UP}]\. |(?:{_GIVEN}) )?{_SURNAME})"),
 ]
+_INSIDE_WORD = re.compile("[A-Za-z0-9-]")
 _SAYS, _BEFORE_SAYS = re.compile(rf" (?:{'|'.join(AFTER_NAME_LATIN.split())}) "), re.compile(rf"(?<![\w.-])(?P<n>{_LATIN})$")
 _DOTTED = re.compile(rf"(?<![{CJK}·])[{CJK}]{{2,4}}·[{CJK}]{{2,6}}(?![{CJK}·])")
 _TITLE_AFTER = re.compile("|".join(AFTER_NAME_CJK.split()))
@@ -204,14 +210,15 @@ def _addresses(plain: str, latin: bool) -> Iterator[tuple[int, int]]:
             done = m.end()
             yield m.start(), m.end() - (plain[m.end() - 1] == " ")
     for house in _LATIN_HOUSE.finditer(plain) if latin else ():
-        if m := _ADDRESS_LATIN.match(plain, house.start()):
+        low = max(0, house.start() - 24)
+        if m := _ADDRESS_LATIN.match(plain, low + _LATIN_FROM.search(plain[low : house.start()]).start()):
             yield m.span()
 
 
 def _names(plain: str, latin: bool) -> Iterator[tuple[int, int]]:
     for pattern in _CJK_NAMED + (_LATIN_NAMED if latin else []):
         for m in pattern.finditer(plain):
-            if not _NOT_NAME.search(m["n"]):
+            if not _NOT_NAME.search(m["n"]) and not (m.start() and _INSIDE_WORD.match(plain, m.start() - 1) and plain[m.start()].isascii()):
                 yield m.span("n")
     ends = [(_RECEIVES, _BEFORE_RECEIVES), (_TITLE_AFTER, _BEFORE_TITLE)] + ([(_SAYS, _BEFORE_SAYS)] if latin else [])
     for after, before in ends:

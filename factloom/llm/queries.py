@@ -12,6 +12,7 @@ from factloom.llm.glyphs import look_alike_pairs
 from factloom.llm.mentions import mentions
 from factloom.llm.names import name_groups, record_forms, variant_pairs
 from factloom.llm.packing import fill_report, pack
+from factloom.llm.pii import personal_items, redact
 from factloom.session import cut, table
 
 
@@ -96,7 +97,27 @@ def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(p9_packing(spark, sf), table(spark, sf, "packing_profiles"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_raters": p7_raters, "p7_agreement": p7_agreement, "p8_ids": p8_ids, "p9_packing": p9_packing, "p9_fill": p9_fill}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_items(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return redact(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_raters": p7_raters,
+    "p7_agreement": p7_agreement,
+    "p8_ids": p8_ids,
+    "p9_packing": p9_packing,
+    "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
+}
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _THIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
