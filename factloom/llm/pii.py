@@ -33,7 +33,7 @@ AFTER_NAME_CJK = "女士 先生 同志 小姐 夫人 老师 教授"
 BEFORE_NAME_LATIN = "Contact: Interview with Transcribed by checked by copied by donor, signed signed by Sincerely, Name:"
 AFTER_NAME_LATIN = "recalls remembers writes told said"
 TITLES_LATIN = "Mr Mrs Ms Miss Dr Prof Comrade"
-BEFORE_OTHER_NUMBER = "编号 编号藏 档案号 藏 馆藏号 Item No. Shelf mark inventory number"
+BEFORE_OTHER_NUMBER = "编号,编号藏,档案号,藏,馆藏号,索书号,Item,Item No.,Item acc.,acc.,No.,Shelf mark,Inventory number,inventory number"
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 _UNTOUCHED = "，：；！？（）、。《》"
@@ -122,7 +122,7 @@ _PHONE = re.compile(
 _ID = re.compile(
     r"(?<![\dA-Za-z@/·.-])(?:\d{6} ?\d{8} ?\d{3}[\dXx]|\d{15}|\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2}(?:\d{2})? ?[A-Z]|[A-Z]{2}\d{7,8})(?![\dA-Za-z@/·]|[.-]\d)"
 )
-_NOT_OURS = re.compile(rf"(?:{'|'.join(map(re.escape, BEFORE_OTHER_NUMBER.split()))})[：: ]*$")
+_NOT_OURS = re.compile(rf"(?:{'|'.join(map(re.escape, BEFORE_OTHER_NUMBER.split(',')))})[：: ]*$")
 _NUM = r"(?:\d{1,5}|[一二三四五六七八九十百〇零]{1,5})"
 _AREA = f"[{CJK}]"
 _NO_LEAD = "(?![住寄址自于在至往到从由])"
@@ -145,13 +145,13 @@ _LATIN = (
     rf"(?:[{UP}]{{2,}}(?:-[{UP}]{{2,}})?, [{UP}][{L}]+(?: [{UP}]\.)?|[{UP}][{L}'’]+, (?:{_GIVEN})(?: [{UP}]\.)?(?![{L}])"
     rf"|(?:[{UP}]\. ?){{1,2}}{_SURNAME}|[{UP}][{L}'’]+ (?:[{UP}]\. |[{UP}][{L}'’]+ )?{_SURNAME})"
 )
-_CJK_NAME = rf"(?:[{CJK}]{{1,4}}·[{CJK}]{{1,6}}(?:·[{CJK}]{{1,6}})?|[{CJK}](?: [{CJK}]){{1,3}}|[{CJK}]{{2,4}})"
+_CJK_NAME = rf"(?:[{CJK}]{{1,4}}·[{CJK}]{{1,6}}?(?:·[{CJK}]{{1,6}}?)?|[{CJK}](?: [{CJK}]){{1,3}}|[{CJK}]{{2,4}}?)"
 _NAME = f"(?:{_LATIN}|{_CJK_NAME})"
 _STOP = r"(?=[，。；、,;（(\s]|\.?$|\. )"
 _CJK_NAMED = [
     re.compile(rf"(?:{'|'.join(BEFORE_NAME_CJK.split())})[：: ]*(?P<n>{_NAME}){_STOP}"),
     re.compile(rf"家属(?P<n>{_NAME})(?=的)"),
-    re.compile(rf"(?:[由据]|整理，)(?P<n>{_LATIN}|{_CJK_NAME[:-1]}?))(?=先生|女士|同志|整理|校订|口述|记录|提供|回忆|讲述)"),
+    re.compile(rf"(?:[由据]|整理，)(?P<n>{_NAME})(?=先生|女士|同志|整理|校订|口述|记录|提供|回忆|讲述)"),
 ]
 _RECEIVES, _BEFORE_RECEIVES = re.compile(r"收(?=[。，；\s]|$)"), re.compile(rf"[，,](?P<n>{_NAME})$")
 _TITLE = f"(?:{'|'.join(TITLES_LATIN.split())})"
@@ -165,7 +165,7 @@ _SAYS, _BEFORE_SAYS = re.compile(rf" (?:{'|'.join(AFTER_NAME_LATIN.split())}) ")
 _DOTTED = re.compile(rf"(?<![{CJK}·])[{CJK}]{{2,4}}·[{CJK}]{{2,6}}(?![{CJK}·])")
 _TITLE_AFTER = re.compile("|".join(AFTER_NAME_CJK.split()))
 _BEFORE_TITLE = re.compile(rf"(?:(?<=[^{CJK}·])|^)(?P<n>{_LATIN}|{_CJK_NAME})$")
-_NOT_NAME = re.compile(rf"^(?:The|That|This|In|On|By|At|For|From|As|After|Before|Between|Item|Shelf|Folio|Two|An|A)\b|(?:{'|'.join(STREET_LATIN.split())})$")
+_NOT_NAME = re.compile(rf"^(?:The|That|This|In|On|By|At|For|From|As|After|Before|Between|Item|Shelf|Folio|Two|An|A(?!\.))\b|(?:{'|'.join(STREET_LATIN.split())})$")
 
 
 def _date(text: str) -> bool:
