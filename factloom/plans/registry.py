@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from factloom.plans import general
+from factloom.plans import competency, general
 
-MODULES = [general]
-FLAGSHIP = general.p4_found
+MODULES = [general, competency]
+FLAGSHIP = competency.cq20
 
 
 def queries() -> dict:
