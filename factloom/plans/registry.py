@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import competency, general
+from factloom.plans import analytics, competency, general, relational
 
-MODULES = [general, competency]
+MODULES = [general, competency, relational, analytics]
 FLAGSHIP = competency.cq20
 
 
