@@ -39,7 +39,8 @@ def _is(label: str) -> Column:
 
 
 def spectral_reliability(votes: DataFrame, labels: Sequence[str], rounds: int = 8) -> DataFrame:
-    """(rater, n_votes, reliability): about 1 for a rater who is always right, 0 for chance, below 0 for worse.
+    """(rater, n_votes, reliability): about 1 for a rater who is always right, 0 for chance or ever the same label,
+    below 0 for worse.
 
     votes is the result of clean_votes. Each round, rater i gets the sum over the other raters j of reliability j times
     their centred agreement with i, divided by the sum of reliability j squared over the items that both voted on.
@@ -60,8 +61,9 @@ def spectral_reliability(votes: DataFrame, labels: Sequence[str], rounds: int =
     total = r.agg(F.sum("r").alias("t")).first()["t"] or 0.0
     sign = 1.0 if total >= 0 else -1.0
     q2 = sum((F.col(f"q{i}") * F.col(f"q{i}") for i in k), F.lit(0.0))
-    spread = F.sqrt(F.greatest(1 - q2, F.lit(1e-9)))
-    return shares.join(r, "rater").select("rater", "n_votes", F.round(F.greatest(F.least(sign * F.col("r") / spread, F.lit(1.0)), F.lit(-1.0)), 9).alias("reliability"))
+    varies = 1 - q2 > 1e-6  # who always says the same tells nothing
+    scaled = F.when(varies, sign * F.col("r") / F.sqrt(F.when(varies, 1 - q2))).otherwise(0.0)
+    return shares.join(r, "rater").select("rater", "n_votes", F.round(F.greatest(F.least(scaled, F.lit(1.0)), F.lit(-1.0)), 9).alias("reliability"))
 
 
 def _best(scores: DataFrame, labels: Sequence[str]) -> DataFrame:

@@ -95,6 +95,7 @@ def _cluster() -> re.Pattern[str]:
     gone = "".join(c for c, to in rules.items() if not to)
     every = [chr(o) for o in [*range(0x80, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)]]
     marks = "".join(c for c in every if unicodedata.combining(c) or unicodedata.category(c) == "Mn" and c not in gone)
+    marks += "".join(c for c, to in rules.items() if to and unicodedata.combining(to[0]) and c not in marks)
     single = "".join(c for c in every if unicodedata.normalize("NFC", c) != c)
     changing = "".join({*rules, *single} - {*gone, *marks})
     with_base = "".join(c for c in every if unicodedata.normalize("NFD", c)[0] in rules and c not in rules)
