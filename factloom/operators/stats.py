@@ -21,7 +21,8 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     p, w = k / n, 1 + z * z / n
     half = z / w * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     mid = (p + z * z / (2 * n)) / w
-    return F.greatest(mid - half, F.lit(0.0)), F.least(mid + half, F.lit(1.0))
+    some = n.isNotNull()  # greatest and least pass over nulls
+    return F.when(some, F.greatest(mid - half, F.lit(0.0))), F.when(some, F.least(mid + half, F.lit(1.0)))
 
 
 def newcombe(k1: Column, n1: Column, k2: Column, n2: Column) -> tuple[Column, Column]:
