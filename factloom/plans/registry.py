@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import analytics, competency, general, relational
+from factloom.plans import analytics, competency, curation, general, relational
 
-MODULES = [general, competency, relational, analytics]
+MODULES = [general, competency, relational, analytics, curation]
 FLAGSHIP = competency.cq20
 
 
