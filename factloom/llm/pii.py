@@ -248,10 +248,11 @@ def find_items(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     plain = Plain(text)
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # by position; none overlap
     for _, a, b, kind in sorted(set(_find(plain.text)), key=lambda x: (x[0], x[1] - x[2], x[1])):
-        if all(b <= x or a >= y for x, y, _ in taken):
-            taken.append((a, b, kind))
+        i = bisect_right(taken, (a, b, kind))
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+            taken.insert(i, (a, b, kind))
     return sorted((kind, *plain.span(a, b)) for a, b, kind in taken)
 
 
