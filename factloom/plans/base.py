@@ -64,14 +64,14 @@ def cell_support(spark: SparkSession, sf: str) -> DataFrame:
 def stages(spark: SparkSession, sf: str) -> DataFrame:
     """The stages with code, label and bounds; eight rows."""
     bounds = spark.createDataFrame([(o, a, b) for o, a, b in STAGE_BOUNDS], "stage_order int, stage_start string, stage_end string")
-    named = states(spark, sf).groupBy("stage_order").agg(F.min("stage_code").alias("stage_code"), F.min("stage_label_zh").alias("stage_label_zh"))
+    named = table(spark, sf, "research_culture_states").groupBy("stage_order").agg(F.min("stage_code").alias("stage_code"), F.min("stage_label_zh").alias("stage_label_zh"))
     dated = bounds.withColumns({"stage_start": F.to_date("stage_start"), "stage_end": F.to_date("stage_end")})
     return named.join(F.broadcast(dated), "stage_order")
 
 
 def regions(spark: SparkSession, sf: str) -> DataFrame:
     """The study regions with their province; their number is that of the provinces, whatever the data's size."""
-    return states(spark, sf).filter("region_id is not null").groupBy("region_id").agg(F.min("province_name").alias("province_name"))
+    return table(spark, sf, "research_culture_states").filter("region_id is not null").groupBy("region_id").agg(F.min("province_name").alias("province_name"))
 
 
 def stage_memberships(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +145,7 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     merged = explicit.unionByName(context).groupBy("event_id", "stage_order", "region_id").agg(
         F.max("rank").alias("rank"), F.max("time_facts").alias("time_facts"), F.max("place_facts").alias("place_facts"), F.max("context_facts").alias("context_facts")
     )
-    name = frames(spark, sf).select("event_id", "event_name")
+    name = links(spark, sf).groupBy("event_id").agg(F.min("event_name").alias("event_name"))
     tier = F.element_at(F.array(*[F.lit(TIERS[k]) for k in (1, 2, 3)]), F.col("rank"))
     dims = merged.join(stages(spark, sf).select("stage_order", "stage_code", "stage_label_zh"), "stage_order").join(regions(spark, sf), "region_id")
     return dims.join(name, "event_id").select(
@@ -225,8 +225,8 @@ CTES = {
     "links": _latest("research_event_assertion_links", "event_id, fact_id, event_endpoint", _LINK_TIES, ", ".join(LINK_COLUMNS)),
     "state_support": "SELECT DISTINCT state_id, fact_id, support_role FROM research_culture_state_support WHERE state_id IS NOT NULL AND fact_id IS NOT NULL AND support_role IS NOT NULL",
     "cell_support": "SELECT DISTINCT cell_id, fact_id, support_role FROM research_event_cell_support WHERE cell_id IS NOT NULL AND fact_id IS NOT NULL AND support_role IS NOT NULL",
-    "stages": f"SELECT b.stage_order, stage_code, stage_label_zh, stage_start, stage_end FROM (VALUES {_BOUNDS}) b(stage_order, stage_start, stage_end) JOIN (SELECT stage_order, min(stage_code) AS stage_code, min(stage_label_zh) AS stage_label_zh FROM states GROUP BY 1) n ON n.stage_order = b.stage_order",
-    "regions": "SELECT region_id, min(province_name) AS province_name FROM states WHERE region_id IS NOT NULL GROUP BY 1",
+    "stages": f"SELECT b.stage_order, stage_code, stage_label_zh, stage_start, stage_end FROM (VALUES {_BOUNDS}) b(stage_order, stage_start, stage_end) JOIN (SELECT stage_order, min(stage_code) AS stage_code, min(stage_label_zh) AS stage_label_zh FROM research_culture_states GROUP BY 1) n ON n.stage_order = b.stage_order",
+    "regions": "SELECT region_id, min(province_name) AS province_name FROM research_culture_states WHERE region_id IS NOT NULL GROUP BY 1",
     "stage_memberships": f"SELECT fact_id, o AS stage_order, greatest(start_date, sa) AS overlap_start, least(end_date, sb) AS overlap_end FROM assertions, (VALUES {_BOUNDS}) b(o, sa, sb) WHERE start_date <= end_date AND start_date <= sb AND end_date >= sa",
     "fact_regions": "SELECT fact_id, region_id FROM assertions JOIN regions ON province = province_name",
     "frames": """SELECT event_id, min(event_name) AS event_name, count(DISTINCT fact_id) FILTER (timed) AS occurrence_time_fact_count, count(DISTINCT fact_id) FILTER (timed AND trusted) AS trusted_time_fact_count,

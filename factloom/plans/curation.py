@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
-from factloom.operators import stats
+from factloom.operators import evaluation, stats
 from factloom.plans import analytics, base, competency, relational
 from factloom.plans.base import over
 from factloom.session import cut, table
@@ -272,7 +272,7 @@ def _(s, d):
     n = facts(s, d).filter("province is not null").groupBy("province").agg(F.count("*").alias("k"))
     ranked = n.select("province", F.row_number().over(W.orderBy("k", "province")).alias("r"), F.count("*").over(W.partitionBy()).alias("n"))
     out = ranked.filter(c("r") <= F.floor(c("n") / 2)).select("province", F.lit("heldout").alias("split"))
-    return facts(s, d).select("fact_id", "province").join(F.broadcast(out), "province", "left").na.fill("train", ["split"]).select("fact_id", "split")
+    return facts(s, d).select("fact_id", "province").join(out, "province", "left").na.fill("train", ["split"]).select("fact_id", "split")
 
 
 @add("D71", "WITH n AS (SELECT predicate, count(*) AS k FROM assertions GROUP BY 1), q AS (SELECT predicate, 100.0 * k / sum(k) OVER () AS x FROM n), f AS (SELECT predicate, floor(x)::BIGINT AS base, row_number() OVER (ORDER BY x - floor(x) DESC, predicate) AS r, 100 - sum(floor(x)) OVER () AS rest FROM q) SELECT predicate, base + (r <= rest)::BIGINT AS quota FROM f")
@@ -433,3 +433,81 @@ for _key, (_module, _of) in ALIASES.items():  # Ids that the survey gives to one
     QUERIES[_key] = _m.QUERIES[_of]
     if _of in _m.SQL:
         SQL[_key] = _m.SQL[_of]
+
+
+@add("D64")
+def _(s, d):
+    """Conjunctions of evidence atoms with their support and share of trusted facts."""
+    a = facts(s, d).select((c("risk_tier") == "A").alias("risk_a"), c("province").isNotNull().alias("placed"), c("start_date").isNotNull().alias("dated"), (c("confidence") >= 0.8).alias("sure"), (c("source_member_count") > 1).alias("several"), (c("semantic_status") == "auto_accepted").alias("accepted"))
+    rows = a.na.fill(False)
+    return evaluation.frequent_rules(rows, ["dated", "placed", "risk_a", "several", "sure"], "accepted", 30, 4).withColumn("share", F.round("share", 6))
+
+
+@add("D72")
+def _(s, d):
+    """Merged facts matched with unmerged ones of the same predicate and precision, coarsened level by level."""
+    a = facts(s, d).select(c("fact_id").alias("id"), "predicate", "time_precision", "risk_tier", "merged_into")
+    return evaluation.matched_controls(a.filter("merged_into is not null"), a.filter("merged_into is null"), [["predicate", "time_precision", "risk_tier"], ["predicate", "time_precision"], ["predicate"]])
+
+
+@add("D74", "SELECT s.lang, count(*) AS pages, round(avg(n), 6) AS names_found FROM (SELECT lang, (SELECT count(*) FROM (VALUES ('会馆'), ('渡口'), ('祠堂'), ('码头')) v(w) WHERE contains(text, w)) AS n FROM documents WHERE text IS NOT NULL) s GROUP BY 1")
+def _(s, d):
+    """Recall of a word list over whole texts, by kind."""
+    n = sum((c("text").contains(w).cast("int") for w in ("会馆", "渡口", "祠堂", "码头")), F.lit(0))
+    return table(s, d, "documents").filter("text is not null").select("lang", n.alias("n")).groupBy("lang").agg(F.count("*").alias("pages"), F.round(F.avg("n"), 6).alias("names_found"))
+
+
+@add("D57", r"SELECT doc_id, regexp_extract(text, '据本册第\d+页所载，([一-龥]+)在(\d{4})年前后曾三次易名', 1) AS place, regexp_extract(text, '据本册第\d+页所载，([一-龥]+)在(\d{4})年前后曾三次易名', 2) AS year FROM documents WHERE regexp_matches(text, '据本册第\d+页所载，([一-龥]+)在(\d{4})年前后曾三次易名')")
+def _(s, d):
+    """Renamed places with the year, from the text's own wording."""
+    p = r"据本册第\d+页所载，([一-龥]+)在(\d{4})年前后曾三次易名"
+    return table(s, d, "documents").filter(c("text").rlike(p)).select("doc_id", F.regexp_extract("text", p, 1).alias("place"), F.regexp_extract("text", p, 2).alias("year"))
+
+
+@add("D56", "SELECT subject_id AS place, min(object_id) AS parent FROM assertions WHERE predicate IN ('part_of', 'located_in') AND subject_type = 'Place' AND object_type = 'Place' AND subject_id <> object_id GROUP BY 1 HAVING count(DISTINCT object_id) = 1")
+def _(s, d):
+    """Place relations with one parent only; hierarchy() gives their paths and cycles."""
+    p = facts(s, d).filter("predicate in ('part_of', 'located_in') and subject_type = 'Place' and object_type = 'Place' and subject_id <> object_id")
+    g = p.groupBy(c("subject_id").alias("place")).agg(F.min("object_id").alias("parent"), F.max("object_id").alias("other"))
+    return g.filter("parent = other").select("place", "parent")
+
+
+@add("D78", "SELECT a.fact_id, start_date IS NOT NULL AS k0, province IS NOT NULL AS k1, c.fact_id IS NOT NULL AS k2, start_date IS NOT NULL AND province IS NOT NULL AND c.fact_id IS NOT NULL AS k3 FROM assertions a LEFT JOIN (SELECT DISTINCT fact_id FROM cell_support) c ON c.fact_id = a.fact_id")
+def _(s, d):
+    e = base.cell_support(s, d).select("fact_id", F.lit(True).alias("e")).distinct()
+    a = facts(s, d).select("fact_id", "start_date", "province").join(e, "fact_id", "left")
+    k0, k1, k2 = c("start_date").isNotNull(), c("province").isNotNull(), c("e").isNotNull()
+    return a.select("fact_id", k0.alias("k0"), k1.alias("k1"), k2.alias("k2"), (k0 & k1 & k2).alias("k3"))
+
+
+@add("M-ISOTONIC")
+def _(s, d):
+    bins = evaluation.equal_count_bins(analytics.runs(s, d), 10, "score", "event_id").orderBy("bin").collect()  # ten rows
+    return s.createDataFrame(evaluation.single_pass_isotonic([(float(b["score"]), float(b["correct"])) for b in bins]), "score double, accuracy double")
+
+
+@add("M-PARETO-KNEE")
+def _(s, d):
+    points = stats.risk_coverage(analytics.runs(s, d)).select("general_risk", "coverage").collect()  # one per distinct score, of which there are 101
+    best = evaluation.knee([(p["general_risk"], p["coverage"]) for p in points])
+    return s.createDataFrame([best] if best else [], "general_risk double, coverage double")
+
+
+@add("M-POSTSTRAT", f"SELECT round(sum(m * size) / sum(size), 9) AS estimate, sum(size)::BIGINT AS covered, 0::BIGINT AS empty_strata FROM (SELECT method, count(*) AS size, avg(correct) FILTER (gate) AS m FROM ({analytics._RUN}) GROUP BY 1)")
+def _(s, d):
+    r = analytics.runs(s, d)
+    out = evaluation.poststratified(r.filter("gate"), r.groupBy("method").agg(F.count("*").alias("size")), "method", "correct")
+    return out.select(F.round("estimate", 9).alias("estimate"), "covered", "empty_strata")
+
+
+@add("M-FLEISS", f"SELECT round((po - pe) / (1 - pe), 9) AS kappa FROM (SELECT avg(s / nullif(m * (m - 1), 0)::DOUBLE) AS po FROM (SELECT item, sum(n) AS m, sum(n * (n - 1)) AS s FROM (SELECT item, label, count(*) AS n FROM {analytics._V} GROUP BY 1, 2) GROUP BY 1)), (SELECT sum(q * q) AS pe FROM (SELECT label, count(*) / (sum(count(*)) OVER ())::DOUBLE AS q FROM {analytics._V} GROUP BY 1))")
+def _(s, d):
+    v = analytics._ballots(s, d).groupBy("item", "label").agg(F.count("*").alias("n"))
+    return stats.fleiss_kappa(v).select(F.round("kappa", 9).alias("kappa"))
+
+
+@add("D85", f"SELECT method, round(0.5 * aurc, 9) AS rescaled FROM ({analytics.SQL['M-AURC']})")
+def _(s, d):
+    """Curve areas when half of the universe is eligible: coverage is scaled before the trapezoids."""
+    curve = stats.risk_coverage(analytics.runs(s, d), ["method"]).withColumn("coverage", c("coverage") * 0.5)
+    return stats.areas(curve, ["method"]).select("method", F.round("aurc", 9).alias("rescaled"))

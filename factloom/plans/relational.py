@@ -171,10 +171,10 @@ def _(s, d):
 
 @add("J-STAR", "SELECT r_name, p_brand, c_mktsegment, sum(l_quantity)::DOUBLE AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3")
 def _(s, d):
-    """Small dimensions are left to the size-based choice of the optimizer; the nation and region tables are fixed."""
+    """Dimensions are broadcast or not by the optimizer's check of their size."""
     t = lambda n: table(s, d, n)
     place = t("nation").join(t("region"), c("n_regionkey") == c("r_regionkey"))
-    who = t("customer").join(F.broadcast(place), c("c_nationkey") == c("n_nationkey")).select("c_custkey", "c_mktsegment", "r_name")
+    who = t("customer").join(place, c("c_nationkey") == c("n_nationkey")).select("c_custkey", "c_mktsegment", "r_name")
     rows = t("lineitem").join(t("part").select("p_partkey", "p_brand"), c("p_partkey") == c("l_partkey")).join(t("orders"), c("o_orderkey") == c("l_orderkey")).join(who, c("c_custkey") == c("o_custkey"))
     return rows.groupBy("r_name", "p_brand", "c_mktsegment").agg(F.sum("l_quantity").alias("quantity"))
 
