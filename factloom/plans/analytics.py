@@ -12,7 +12,7 @@ from factloom.functions import text as X
 from factloom.operators import graph, stats
 from factloom.plans import base
 from factloom.plans.base import over
-from factloom.session import cut, table
+from factloom.session import cut, shuffle_width, table
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -220,13 +220,62 @@ _DATED = "SELECT fact_id, subject_id, predicate, time_precision, start_date AS s
 
 @add("D54", f"SELECT a.fact_id AS a, b.fact_id AS b, CASE WHEN a.s = b.s AND a.e = b.e THEN 'equals' WHEN a.e < b.s THEN 'before' WHEN a.s > b.e THEN 'after' WHEN a.e = b.s OR a.s = b.e THEN 'meets' WHEN a.s = b.s THEN 'starts' WHEN a.e = b.e THEN 'ends' WHEN a.s > b.s AND a.e < b.e THEN 'during' WHEN a.s < b.s AND a.e > b.e THEN 'contains' ELSE 'overlaps' END AS relation FROM ({_DATED}) a JOIN ({_DATED}) b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.fact_id < b.fact_id")
 def _(s, d):
-    """Allen relations of a subject's dated, unmerged strict facts of one predicate, smaller id first."""
+    """Allen relations of an event's dated, unmerged strict facts of one predicate, smaller id first; D54-FAMILIES has the whole."""
     f = facts(s, d).filter("start_date <= end_date and merged_into is null and research_tier = 'strict_semantic' and subject_type = 'Event'")
     a = f.select("subject_id", "predicate", c("fact_id").alias("a"), c("start_date").alias("s1"), c("end_date").alias("e1"))
     b = f.select("subject_id", "predicate", c("fact_id").alias("b"), c("start_date").alias("s2"), c("end_date").alias("e2"))
     return a.join(b, ["subject_id", "predicate"]).filter("a < b").select("a", "b", X.allen(c("s1"), c("e1"), c("s2"), c("e2")).alias("relation"))
 
 
+PAIR_ROWS = 500  # left rows of a key that meet the key's right rows in one task
+
+
+def _pairs_within(members: DataFrame, key: str, meets) -> DataFrame:
+    """Ordered pairs of the members (with id) of one key, columns of both ends prefixed a_ and b_. A frequent key's left
+    rows are dealt out over cells that each get all its right rows, so that no task has all pairs of one key."""
+    n = shuffle_width(members.sparkSession)
+    sized = members.filter(c(key).isNotNull()).withColumn("cells", F.ceil(F.count("*").over(W.partitionBy(key)) / PAIR_ROWS))
+    end = lambda df, p: df.select(key, "cell", *(c(x).alias(f"{p}_{x}") for x in members.columns if x != key))
+    left = end(sized.withColumn("cell", F.pmod(F.hash("id"), c("cells"))), "a").repartition(n, key, "cell")
+    right = end(sized.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), c("cells") - 1))), "b").repartition(n, key, "cell")
+    return left.join(right, [key, "cell"]).filter((c("a_id") < c("b_id")) & meets)
+
+
+def temporal_pairs(facts: DataFrame, links: DataFrame, support: DataFrame) -> DataFrame:
+    """(a, b, relation, precision, family) of dated, unmerged facts: each pair once, in the first family that has it.
+
+    facts: fact_id, subject_id, start_date, end_date, time_precision, merged_into. links: event_id, fact_id. support:
+    culture_subject_id, state_id, fact_id. Families in order: same_subject; same_event; same_state_subject, facts of
+    different states of one subject. Undated ends exclude a fact, dates in the wrong order do not; null keys pair
+    nothing; repeated links count once. precision is the coarser known one: period, year, month, else unknown.
+    """
+    rank = F.when(c("time_precision") == "month", 1).when(c("time_precision") == "year", 2).when(c("time_precision") == "period", 3).otherwise(0)
+    f = facts.filter("start_date is not null and end_date is not null and merged_into is null").select(c("fact_id").alias("id"), "subject_id", c("start_date").alias("s"), c("end_date").alias("e"), rank.alias("p"))
+    apart = ~F.coalesce(c("a_subject_id") == c("b_subject_id"), F.lit(False))
+    dated = lambda df: df.withColumnRenamed("fact_id", "id").join(f.withColumnRenamed("subject_id", "subject"), "id").withColumnRenamed("subject", "subject_id")
+    event = dated(links.select("event_id", "fact_id").distinct())
+    states = support.groupBy("culture_subject_id", "fact_id").agg(F.min("state_id").alias("low"), F.max("state_id").alias("high"))
+    other_state = (c("a_low") != c("b_low")) | (c("a_low") != c("a_high")) | (c("b_low") != c("b_high"))
+    ends = ["a_id", "b_id", "a_s", "a_e", "a_p", "b_s", "b_e", "b_p"]
+    by_event = _pairs_within(event, "event_id", apart).select(*ends, F.lit(2).alias("family"))
+    by_state = _pairs_within(dated(states), "culture_subject_id", apart & other_state).select(*ends, F.lit(3).alias("family"))
+    rest = by_event.unionByName(by_state).groupBy(*ends).agg(F.min("family").alias("family"))
+    every = _pairs_within(f, "subject_id", F.lit(True)).select(*ends, F.lit(1).alias("family")).unionByName(rest)
+    name = lambda k, names: F.element_at(F.array(*map(F.lit, names)), k)
+    return every.select(
+        c("a_id").alias("a"), c("b_id").alias("b"), X.allen_forward(c("a_s"), c("a_e"), c("b_s"), c("b_e")).alias("relation"),
+        name(F.greatest("a_p", "b_p") + 1, ("unknown", "month", "year", "period")).alias("precision"),
+        name(c("family"), ("same_subject", "same_event", "same_state_subject")).alias("family"),
+    )
+
+
+@add("D54-FAMILIES")
+def _(s, d):
+    """All Allen pairs of the reference (its U5); D54 is the part of it that D54's SQL states."""
+    support = base.state_support(s, d).select("state_id", "fact_id").join(base.states(s, d).select("state_id", "culture_subject_id"), "state_id")
+    return temporal_pairs(facts(s, d), base.links(s, d), support)
+
+
 @add("D53", "SELECT a.event_id AS a, b.event_id AS b, CASE WHEN a.observed_end < b.observed_start THEN 'before' WHEN a.observed_start > b.observed_end THEN 'after' WHEN a.observed_start >= b.observed_start AND a.observed_end <= b.observed_end THEN 'during' ELSE 'overlaps' END AS relation FROM (SELECT DISTINCT x.event_id AS l, y.event_id AS r FROM roles x JOIN roles y ON x.counterpart_id = y.counterpart_id AND x.event_id < y.event_id) p JOIN frames a ON a.event_id = l JOIN frames b ON b.event_id = r WHERE a.observed_start IS NOT NULL AND b.observed_start IS NOT NULL AND a.observed_end IS NOT NULL AND b.observed_end IS NOT NULL")
 def _(s, d):
     """J-INTERVAL-PAIR: only events that share a participant are compared; the pairs are distinct before they get dates."""
