@@ -13,7 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import connected_components
@@ -40,6 +40,7 @@ ORDINAL_WORDS = "First Second Third Fourth Fifth Sixth Seventh Eighth Ninth Tent
 LATIN_TITLES = "Comrade Mr Mrs Miss Ms Dr Prof Professor Sir Madam Captain Colonel General"
 CJK_TITLES_AFTER = "先生 女士 同志 小姐 夫人 老师 教授 师傅"
 CJK_TITLES_BEFORE = "老 小"
+CJK_PET_BEFORE, CJK_PET_AFTER = "老小阿", "儿"
 PLACE_SIGNS = "市县旗镇乡区省村"
 CJK_DIGITS = "零一二三四五六七八九"
 
@@ -141,6 +142,8 @@ def _read_cjk(name: str) -> dict | None:
         if bare.endswith(t) and len(bare) > len(t) + 1:
             bare, titled = bare[: -len(t)], True
             break
+    if m := re.fullmatch(f"([{CJK}]+)老\\(([{CJK}]+)\\)", bare):
+        return {"script": "cjk", "joined": m[1] + m[2], "block": None, "starts": None}
     parts = bare.split("·")
     if not titled and len(parts) == 1 and bare[:1] in CJK_TITLES_BEFORE.split() and len(bare) >= 4:
         bare, titled = bare[1:], True
@@ -155,6 +158,20 @@ def _read_cjk(name: str) -> dict | None:
     return {"script": "cjk", "block": surname, "given": given}
 
 
+def pet_of(joined: str) -> str | None:
+    """Whom an undotted pet form names, as pet_keys has it: 小杨野 keeps surname and last sign, 吴砚青儿 the whole name."""
+    if len(joined) == 3 and joined[0] in CJK_PET_BEFORE:
+        return f"{joined[1]}*{joined[2]}"
+    return "=" + joined[:-1] if len(joined) > 3 and joined.endswith(CJK_PET_AFTER) else None
+
+
+def plain_keys(name: str) -> list[str]:
+    """A name that no reader reads, as written without case and comma, and its words in order, for the radius join."""
+    comma = re.match(r"^([^,]+), ([^,]+)$", name)
+    words = (comma[2] + " " + comma[1] if comma else name).lower().split(" ")
+    return sorted({" ".join(words), " ".join(sorted(words))})
+
+
 def match_kind(kind: str, kinds: list[str]) -> str | None:
     """The one known kind of body that a written kind means: the same, one typing error away, or abbreviated."""
     if kind in kinds:
@@ -187,36 +204,105 @@ def settle_kinds(counts: dict[str, int]) -> list[str]:
     return out
 
 
-READ = "form string, role string, kind string, block string, key string, starts array<string>, joined array<string>"
+READ = "form string, role string, kind string, block string, key string, starts array<string>, joined array<string>, person boolean, named boolean"
+NUMERALS = r"[^0-9零〇一二三四五六七八九十]+"
 
 
 def _reader(given: GivenNames, kinds: dict[str, list[str]]):
-    def one(name: str) -> tuple | None:
-        if body := read_body(name):
-            kind = match_kind(body["kind"], kinds[body["script"]])
+    known: dict[tuple[str, str], str | None] = {}
+
+    def kind_of(body: dict) -> str | None:
+        at = body["script"], body["kind"]
+        if at not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[at] = match_kind(at[1], kinds[at[0]])
+        return known[at]
+
+    def one(name: str, person: bool, body: bool) -> Iterator[tuple]:
+        unread = name, "plain", "plain", "", None, None, plain_keys(name)
+        if b := read_body(name):
+            kind = kind_of(b) or (b["kind"] if body else None)
             if kind is None:
-                return None
-            rest = f"{body['num']}|{kind}"
-            if body["script"] == "cjk" and not body["sign"]:
-                return name, "short", "body cjk", f"{body['place']}|{rest}", None, [""], None
-            return name, "full", f"body {body['script']}", f"{rest}|{body['sign']}", body["place"], None, None
-        person = read_person(name, given)
-        if person is None:
-            return None
-        kind, block, g = f"person {person['script']}", person.get("block"), person.get("given")
+                yield unread
+                return
+            rest = f"{b['num']}|{kind}"
+            if kind_of(b) is None:
+                yield unread
+            if b["script"] == "cjk" and not b["sign"]:
+                yield name, "short", "body cjk", f"{b['place']}|{rest}", None, [""], None
+            else:
+                yield name, "full", f"body {b['script']}", f"{rest}|{b['sign']}", b["place"], None, None
+            return
+        read = read_person(name, given)
+        if read is None:
+            yield unread
+            comma = re.match(r"^([^,]+), ([^,]+)$", name)
+            words = (comma[2] + " " + comma[1] if comma else name).lower().split(" ")
+            if person and 2 <= len(words) <= 4 and all(WORD.match(w) for w in words):
+                yield name, "full", "person latin", words[-1], f"{words[0]} {words[-1]}", None, None
+            return
+        kind, block, g = f"person {read['script']}", read.get("block"), read.get("given")
         if g:
-            joined = [g + block, block + g] if person["script"] == "cjk" else None
-            return name, "full", kind, block, f"{g} {block}", None, joined
-        return name, "short", kind, block, None, person.get("starts"), [person["joined"]] if person.get("joined") else None
+            joined = [g + block, block + g] if read["script"] == "cjk" else None
+            yield name, "full", kind, block, f"{g} {block}", None, joined
+        else:
+            yield name, "short", kind, block, None, read.get("starts"), [read["joined"]] if read.get("joined") else None
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for f in b["form"] if (r := one(f)) is not None]
-            yield pd.DataFrame(rows, columns=["form", "role", "kind", "block", "key", "starts", "joined"])
+            rows = [(*r, p, p or o) for f, p, o in zip(b["form"], b["person"], b["body"], strict=True) for r in one(f, p, o)]
+            yield pd.DataFrame(rows, columns=["form", "role", "kind", "block", "key", "starts", "joined", "person", "named"])
 
     return run
 
 
+def _joined_hub(text) -> Column:
+    return F.concat_ws("\x1f", F.lit("\x01joined"), text)
+
+
+def _same_numerals(a: str, b: str) -> Column:
+    """Whether two texts within one edit have the same numerals: an edited number names another body or year."""
+    return F.regexp_replace(a, NUMERALS, " ") == F.regexp_replace(b, NUMERALS, " ")
+
+
+def _close_joined(joined: DataFrame) -> DataFrame:
+    """(a, b) hubs of names without a dot that are one edit from another joined name. joined: j, role, named.
+
+    One end has to be a person's read name or to stand under a record of a person or body. Names of fewer than five
+    signs are let out: there another sign is another person.
+    """
+    ends = joined.filter(F.length("j") >= 5).groupBy("j").agg(F.max(F.col("role") == "short").alias("bare"), F.max((F.col("role") == "full") | F.col("named")).alias("sure"))
+    ends = cut(ends)
+    near = radius_join(ends.select(F.lit("joined").alias("kind"), F.lit("").alias("block"), F.col("j").alias("text")))
+    end = lambda k: ends.select(F.col("j").alias(f"text_{k}"), F.col("bare").alias(f"bare_{k}"), F.col("sure").alias(f"sure_{k}"))
+    met = near.join(end("a"), "text_a").join(end("b"), "text_b").filter("(bare_a or bare_b) and (sure_a or sure_b)").filter(_same_numerals("text_a", "text_b"))
+    return met.select(_joined_hub("text_a").alias("a"), _joined_hub("text_b").alias("b"))
+
+
+def _close_plain(unread: DataFrame) -> DataFrame:
+    """(a, b) of unread forms and hubs of their plain keys, where a record says person or body of one of the ends."""
+    keys = cut(unread.select("form", "named", F.explode("joined").alias("k")))
+    named = cut(keys.groupBy("k").agg(F.max("named").alias("named")))
+    near = radius_join(named.filter(F.length("k") >= 5).select(F.lit("plain").alias("kind"), F.lit("").alias("block"), F.col("k").alias("text")))
+    end = lambda k: named.select(F.col("k").alias(f"text_{k}"), F.col("named").alias(f"named_{k}"))
+    met = cut(near.join(end("a"), "text_a").join(end("b"), "text_b").filter("named_a or named_b").filter(_same_numerals("text_a", "text_b")).select("text_a", "text_b"))
+    told = named.filter("named").select("k").union(met.select("text_a")).union(met.select("text_b")).distinct()
+    hub = lambda k: F.concat_ws("\x1f", F.lit("\x01plain"), k)
+    return keys.join(told, "k").select(F.col("form").alias("a"), hub("k").alias("b")).unionByName(met.select(hub("text_a").alias("a"), hub("text_b").alias("b")))
+
+
+def _pets(bare: DataFrame) -> DataFrame:
+    """(a, b) of pet forms and the hub of the only recorded person they fit. bare: form, j, person, of names without a dot."""
+    udf = F.udf(pet_of, "string")
+    pets = bare.withColumn("pet", udf("j"))
+    whole = pets.filter(F.col("person") & (F.col("pet").isNull() | F.col("pet").startswith("="))).select("j").distinct()
+    brief = F.when(F.length("j") == 3, F.concat(F.substring("j", 1, 1), F.lit("*"), F.substring("j", 3, 1)))
+    of = whole.select("j", F.explode(F.array(F.concat(F.lit("="), "j"), brief)).alias("pet")).dropna()
+    only = of.groupBy("pet").agg(F.min("j").alias("j"), F.max("j").alias("other")).filter("j = other")
+    return pets.select("form", "pet").dropna().join(only, "pet").select(F.col("form").alias("a"), _joined_hub("j").alias("b"))
+
+
 def _lexicon(forms: DataFrame) -> tuple[GivenNames, dict[str, list[str]]]:
     """Given names and kinds of bodies, counted over all forms; those kept each hold a fixed share, so at most 2000."""
     word, last = F.lower(F.element_at(F.split("form", " "), 1)), F.element_at(F.split("form", " "), -1)
@@ -251,8 +337,8 @@ def name_groups(named: DataFrame, aliases: DataFrame) -> DataFrame:
         .groupBy("form").agg(F.max("person").alias("person"), F.max("body").alias("body"))
     )
     given, kinds = _lexicon(forms)
-    read = cut(forms.select("form").mapInPandas(_reader(given, kinds), READ))
-    person = F.col("kind").startswith("person")
+    read = cut(forms.select("form", "person", "body").mapInPandas(_reader(given, kinds), READ))
+    person = F.col("kind").startswith("person")  # of the read name, not of the record
     hub = lambda kind, block, key: F.concat_ws("\x1f", F.lit("\x01"), kind, block, key)
     full = read.filter("role = 'full'").select("form", "kind", "block", "key", "joined")
     own_hub = F.when(person, hub(F.col("kind"), F.lit(""), F.col("key"))).otherwise(hub(F.col("kind"), F.col("block"), F.col("key")))
@@ -260,10 +346,12 @@ def name_groups(named: DataFrame, aliases: DataFrame) -> DataFrame:
     near = radius_join(full.select("kind", F.when(person, F.lit("")).otherwise(F.col("block")).alias("block"), F.col("key").alias("text")))
     close = near.select(hub(F.col("kind"), F.col("block"), F.col("text_a")).alias("a"), hub(F.col("kind"), F.col("block"), F.col("text_b")).alias("b"))
     joined = read.filter(person & F.col("joined").isNotNull())
-    by_joined = joined.select("form", F.explode("joined").alias("j"))
-    joined_hub = F.concat_ws("\x1f", F.lit("\x01joined"), "j")
-    whole = by_joined.select(F.col("form").alias("a"), joined_hub.alias("b"))
-    sure = cut(full.select(F.col("form").alias("a"), F.col("hub").alias("b")).unionByName(close).unionByName(whole))
+    by_joined = joined.select("form", "role", "person", "named", F.explode("joined").alias("j"))
+    by_joined = cut(by_joined)
+    whole = by_joined.select(F.col("form").alias("a"), _joined_hub("j").alias("b"))
+    pets = _pets(by_joined.filter("role = 'short'"))
+    plain = _close_plain(read.filter("role = 'plain'"))
+    sure = cut(full.select(F.col("form").alias("a"), F.col("hub").alias("b")).unionByName(close).unionByName(whole).unionByName(_close_joined(by_joined)).unionByName(pets).unionByName(plain))
     first = connected_components(sure)
     roots = cut(first)
     # what leaves something out follows the one candidate of its block that begins so
