@@ -304,24 +304,32 @@ def _pets(bare: DataFrame) -> DataFrame:
 
 
 def _lexicon(forms: DataFrame) -> tuple[GivenNames, dict[str, list[str]]]:
-    """Given names and kinds of bodies, counted over all forms; those kept each hold a fixed share, so at most 2000."""
-    word, last = F.lower(F.element_at(F.split("form", " "), 1)), F.element_at(F.split("form", " "), -1)
-    people = forms.filter(F.col("person") & F.col("form").rlike(r"^\p{Lu}[\p{L}'-]+( \p{Lu}[\p{L}'.-]*)?( \p{Lu}[\p{L}'.-]+)$"))
-    total = people.count()
-    firsts = people.groupBy(word.alias("w")).agg(F.countDistinct(last).alias("n")).filter(F.col("n") > F.lit(max(4, total / 2000)))
-    given = GivenNames(r["w"] for r in firsts.collect())
-
-    def kind_of(names: pd.Series) -> pd.Series:
+    """Given names and kinds of bodies that occur with two or more partners, whatever the size of the data.
+
+    A given name stands first with two or more surnames, and with more of them than it stands last with; known given
+    names and initials are no surnames, so that a surname written first isn't taken for a given name.
+    """
+    built_in = GivenNames([])
+    fixed = sorted(built_in.formal | set(built_in.short))
+    low = F.lower("form")
+    words = forms.filter(F.col("person") & F.col("form").rlike(r"^\p{Lu}[\p{L}'-]+( \p{Lu}[\p{L}'.-]*)?( \p{Lu}[\p{L}'.-]+)$"))
+    ends = words.select(F.element_at(F.split(low, " "), 1).alias("first"), F.element_at(F.split(low, " "), -1).alias("last"))
+    partner = lambda c: F.when(~F.col(c).isin(fixed) & ~F.col(c).rlike(r"^\p{L}\.$"), F.col(c))
+    both = ends.select(F.col("first").alias("w"), partner("last").alias("surname"), F.lit(None).cast("string").alias("given")).unionByName(
+        ends.select(F.col("last").alias("w"), F.lit(None).cast("string").alias("surname"), F.col("first").alias("given"))
+    )
+    firsts = both.groupBy("w").agg(F.countDistinct("surname").alias("n"), F.countDistinct("given").alias("after")).filter("n >= 2 and n > after")
+    given = GivenNames(r["w"] for r in firsts.select("w").collect())
+
+    def kind_of(names: pd.Series) -> pd.DataFrame:
         got = [read_body(n) for n in names]
-        return pd.Series([f"{g['script']}|{g['kind']}" if g else None for g in got], dtype=object)
+        return pd.DataFrame([(f"{g['script']}|{g['kind']}", g["place"]) if g else (None, None) for g in got], columns=["kind", "place"])
 
-    udf = F.pandas_udf(kind_of, "string")
-    bodies = forms.filter("body").select(udf("form").alias("k")).filter("k is not null").groupBy("k").agg(F.count("*").alias("n"))
-    bodies = cut(bodies)
-    n = bodies.agg(F.sum("n")).first()[0] or 0
+    udf = F.pandas_udf(kind_of, "kind string, place string")
+    bodies = forms.filter("body").select(udf("form").alias("k")).select("k.kind", "k.place").filter("kind is not null")
     counts: dict[str, dict[str, int]] = {"latin": {}, "cjk": {}}
-    for r in bodies.filter(F.col("n") > n / 2000).collect():
-        script, _, kind = r["k"].partition("|")
+    for r in bodies.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("place").alias("places")).filter("places >= 2").collect():
+        script, _, kind = r["kind"].partition("|")
         counts[script][kind] = r["n"]
     return given, {s: settle_kinds(c) for s, c in counts.items()}
 

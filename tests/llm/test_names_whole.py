@@ -38,5 +38,16 @@ def test_forms_without_a_reader(spark):
     assert "Rulfobel Ferry" not in g and "Rulfobel Fery" not in g
 
 
+def test_lexicons_do_not_depend_on_the_share(spark):
+    from factloom.llm.names import _lexicon
+
+    many = [(f"William Surna{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}x", True, False) for i in range(600)]
+    rare = ["Zedric Oldumar", "Zedric Takkel", "Oldumar William", "Oldumar Henry", "Takkel Zedric"]
+    bodies = [(f"某{c}地市第{n}工人夜校", False, True) for c in "甲乙丙丁戊己庚辛" for n in "一二三"] + [("某甲地市第一奇异社", False, True), ("某乙地市第二奇异社", False, True), ("某乙地市第二孤社", False, True)]
+    given, kinds = _lexicon(spark.createDataFrame(many + [(x, True, False) for x in rare] + bodies, NAMED))
+    assert given.known("zedric") and not given.known("oldumar") and not given.known("takkel")
+    assert kinds["cjk"] == ["工人夜校", "奇异社"]
+
+
 def test_nothing(spark):
     assert groups(spark) == {}
