@@ -472,6 +472,62 @@ def _(s, d):
     return g.filter("parent = other").select("place", "parent")
 
 
+# Types that are places, ends of organisations' names, and the fields that lie in each other.
+SPATIAL = ("Place", "AdministrativeRegion", "CulturalSite")
+ORG_END = "(会|局|部|处|署|所|军|队|校|厂|社|馆|委|厅|司|团|党)$"
+LEVELS = (("province", "city"), ("city", "county"))
+
+
+def _cyclic(edges: DataFrame) -> DataFrame:
+    """The distinct (child, parent) from whose parent a way leads back to the child. What leads into or out of cycles is
+    trimmed off level by level; the rest is closed by doubling, so it grows with the square of the places left."""
+    core, n = cut(edges.select("child", "parent").distinct()), -1
+    while (left := core.count()) not in (0, n):
+        n = left
+        core = cut(core.join(core.select(c("parent").alias("child")).distinct(), "child", "left_semi").join(core.select(c("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"))
+    reach, n = core, -1
+    while (now := reach.count()) not in (0, n):
+        n = now
+        far = reach.select(c("child").alias("parent"), c("parent").alias("far"))
+        reach = cut(reach.unionByName(reach.join(far, "parent").select("child", c("far").alias("parent"))).distinct())
+    return core.join(reach.select(c("child").alias("parent"), c("parent").alias("child")), ["child", "parent"], "left_semi")
+
+
+def place_relations(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """(child, parent, relation, evidence_id, status): all distinct place edges, with status.
+
+    facts: fact_id, subject_id, predicate, object_id, research_tier, and the fields of LEVELS that there are; entities:
+    entity_id, name, type. Explicit strict edges are auto_typed, contextual ones needs_review; of several facts a strict
+    one counts, then the smallest id. Field chains add located_in edges between names that each belong to one place and
+    nothing else. Edges on cycles (self links too) are rejected; edges up to an organisation's name need review.
+    """
+    place = entities.filter(c("type").isin(*SPATIAL))
+    end = lambda k: place.select(c("entity_id").alias(k))
+    said = facts.filter("predicate in ('located_in', 'part_of') and research_tier in ('strict_semantic', 'contextual')")
+    said = said.join(end("subject_id"), "subject_id", "left_semi").join(end("object_id"), "object_id", "left_semi")
+    edges = said.select(c("subject_id").alias("child"), c("object_id").alias("parent"), c("predicate").alias("relation"), F.when(c("research_tier") == "strict_semantic", 0).otherwise(1).alias("rank"), "fact_id")
+    names = entities.filter("name <> ''").groupBy("name").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("id"), F.min(F.coalesce(c("type").isin(*SPATIAL), F.lit(False))).alias("spatial")).filter("n = 1 and spatial")
+    for high, low in LEVELS:
+        if {high, low} <= set(facts.columns):
+            pairs = facts.filter((c(high) != "") & (c(low) != "") & (c(high) != c(low))).groupBy(c(high).alias("high"), c(low).alias("low")).agg(F.min("fact_id").alias("fact_id"))
+            at = lambda k, to: names.select(c("name").alias(k), c("id").alias(to))
+            chain = pairs.join(at("high", "parent"), "high").join(at("low", "child"), "low")
+            edges = edges.unionByName(chain.select("child", "parent", F.lit("located_in").alias("relation"), F.lit(2).alias("rank"), "fact_id"))
+    best = edges.groupBy("child", "parent", "relation").agg(F.min(F.struct("rank", "fact_id")).alias("e"))
+    best = cut(best.select("child", "parent", "relation", c("e.fact_id").alias("evidence_id"), c("e.rank").alias("rank")))
+    org = place.filter(c("name").rlike(ORG_END)).select(c("entity_id").alias("parent"), F.lit(True).alias("org"))
+    out = best.join(_cyclic(best).withColumn("cyclic", F.lit(True)), ["child", "parent"], "left").join(org, "parent", "left")
+    status = F.when(c("cyclic"), "rejected").when((c("rank") == 1) | c("org"), "needs_review").otherwise("auto_typed")
+    return out.select("child", "parent", "relation", "evidence_id", status.alias("status"))
+
+
+@add("D56-EDGES")
+def _(s, d):
+    """The whole of D56, whose SQL states its one-parent part; the tables have no city and county, so no field chains."""
+    e = base.entities(s, d).select("entity_id", c("canonical_name").alias("name"), F.coalesce("semantic_entity_type", "source_entity_type").alias("type"))
+    return place_relations(facts(s, d), e)
+
+
 @add("D78", "SELECT a.fact_id, start_date IS NOT NULL AS k0, province IS NOT NULL AS k1, c.fact_id IS NOT NULL AS k2, start_date IS NOT NULL AND province IS NOT NULL AND c.fact_id IS NOT NULL AS k3 FROM assertions a LEFT JOIN (SELECT DISTINCT fact_id FROM cell_support) c ON c.fact_id = a.fact_id")
 def _(s, d):
     e = base.cell_support(s, d).select("fact_id", F.lit(True).alias("e")).distinct()
