@@ -126,3 +126,18 @@ def named_by_most(passes: DataFrame, naming: DataFrame, item: str, rater: str, l
     size = passes.select(item, rater).distinct().groupBy(item).agg(F.count("*").alias("n_passes"))
     said = naming.select(item, rater, label).distinct().groupBy(item, label).agg(F.count("*").alias("n_naming"))
     return said.join(size, item).filter(F.col("n_naming") * 2 > F.col("n_passes"))
+
+
+def naming_votes(passes: DataFrame, naming: DataFrame, item: str, rater: str, label: str) -> DataFrame:
+    """(item, label, rater, said): 'named' or 'not_named' of each pass for everything that some pass of its item names."""
+    every = passes.select(item, rater).dropna().distinct()
+    said = naming.select(item, rater, label).dropna().distinct()
+    asked = said.select(item, label).distinct().join(every, item)
+    votes = asked.join(said.withColumn("said", F.lit("named")), [item, rater, label], "left")
+    return votes.select(F.col(item).alias("item"), F.col(label).alias("label"), F.col(rater).alias("rater"), F.coalesce("said", F.lit("not_named")).alias("said"))
+
+
+def named_or_not(votes: DataFrame) -> DataFrame:
+    """(item, consensus) of votes (item, rater, label) of named and not_named: named needs more than half."""
+    named = F.sum(_is("named")) * 2 > F.count("*")
+    return votes.groupBy("item").agg(F.when(named, "named").otherwise("not_named").alias("consensus"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.bpe import encode, token_counts
 from factloom.llm.components import record_groups
-from factloom.llm.consensus import clean_votes, consensus, item_agreement, named_by_most
+from factloom.llm.consensus import clean_label, clean_votes, consensus, item_agreement, named_by_most, named_or_not, naming_votes, spectral_reliability
 from factloom.llm.glyphs import look_alike_pairs
 from factloom.llm.mentions import mentions
 from factloom.llm.names import name_groups, record_forms, variant_pairs
@@ -49,15 +49,28 @@ def _votes(spark: SparkSession, sf: str) -> DataFrame:
     return clean_votes(table(spark, sf, "closure3_votes"), "task_id", "rater_id", "label", VOTE_LABELS, "cast_at")
 
 
-def _page_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities that most passes of a page name, in whatever characters or spelling."""
+def _page_naming(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Passes that could be read, and the entities that they name, in whatever characters or spelling."""
     pages = table(spark, sf, "page001_5_35").select("page_id", "vote", "parsed")
     own, said, named, aliases = record_forms(table(spark, sf, "v2_entities").select(*ENTITY_NAMES), mentions(pages))
     groups = name_groups(named, aliases)
     group_of = lambda df: df.join(groups, "form", "left").withColumn("group", F.coalesce("group", "form"))
     known = group_of(own).select("group", "entity_id").distinct()
     naming = group_of(said).join(known, "group").select("page_id", "vote", "entity_id")
-    return named_by_most(pages.filter(F.col("parsed").isNotNull()), naming, "page_id", "vote", "entity_id")
+    return pages.filter(F.col("parsed").isNotNull()), naming
+
+
+def _page_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities that most passes of a page name."""
+    passes, naming = _page_naming(spark, sf)
+    return named_by_most(passes, naming, "page_id", "vote", "entity_id")
+
+
+def _page_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each pass as a rater of whether its page names an entity; the item is page and entity."""
+    v = naming_votes(*_page_naming(spark, sf), "page_id", "vote", "entity_id")
+    item = F.concat_ws("\x1f", F.col("item").cast("string"), "label")
+    return cut(v.select(item.alias("item"), F.concat(F.lit("pass "), F.col("rater").cast("string")).alias("rater"), F.col("said").alias("label")))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,17 +84,41 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return voted.unionByName(pages)
 
 
-def p7_raters(spark: SparkSession, sf: str) -> DataFrame:
-    """Reliability of each rater, and the share of its votes that are the consensus."""
-    votes = cut(_votes(spark, sf))
-    best, reliability = consensus(votes, VOTE_LABELS)
+def _rated(votes: DataFrame, best: DataFrame, reliability: DataFrame) -> DataFrame:
     hits = votes.join(best, "item").groupBy("rater").agg(F.round(F.avg((F.col("label") == F.col("consensus")).cast("double")), 6).alias("consensus_share"))
     return reliability.join(hits, "rater").withColumnRenamed("rater", "rater_id")
 
 
-def p7_agreement(spark: SparkSession, sf: str) -> DataFrame:
+def p7_raters(spark: SparkSession, sf: str) -> DataFrame:
+    """Reliability of each rater of tasks and each pass over pages, and the share of its votes that are the consensus."""
     votes = cut(_votes(spark, sf))
-    return item_agreement(votes, consensus(votes, VOTE_LABELS)[0])
+    pages = _page_votes(spark, sf)
+    passes = _rated(pages, named_or_not(pages), spectral_reliability(pages, ["named", "not_named"]))
+    return _rated(votes, *consensus(votes, VOTE_LABELS)).unionByName(passes)
+
+
+def p7_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Agreement on each task, and on each entity (entity_id, null for tasks) that some pass of a page names."""
+    votes, pages = cut(_votes(spark, sf)), _page_votes(spark, sf)
+    tasks = item_agreement(votes, consensus(votes, VOTE_LABELS)[0]).withColumn("entity_id", F.lit(None).cast("string"))
+    both = item_agreement(pages, named_or_not(pages))
+    split = {"item": F.substring_index("item", "\x1f", 1), "entity_id": F.substring_index("item", "\x1f", -1)}
+    return tasks.unionByName(both.withColumns(split))
+
+
+def compared(best: DataFrame, heldout: DataFrame) -> DataFrame:
+    """(item_id, consensus, reference_label, consensus_tier, agrees): tasks with a reference or tier beside their consensus.
+
+    agrees is null without a reference; a task without a vote has a null consensus and does not agree.
+    """
+    known = heldout.filter("task_id is not null and (reference_label is not null or consensus_tier is not null)").select(F.col("task_id").alias("item"), "reference_label", "consensus_tier").distinct()
+    agrees = F.when(F.col("reference_label").isNotNull(), F.coalesce(F.col("consensus") == clean_label(F.col("reference_label")), F.lit(False)))
+    return known.join(best, "item", "left").select(F.col("item").alias("item_id"), "consensus", "reference_label", "consensus_tier", agrees.alias("agrees"))
+
+
+def p7_reference(spark: SparkSession, sf: str) -> DataFrame:
+    best, _ = consensus(cut(_votes(spark, sf)), VOTE_LABELS)
+    return compared(best, table(spark, sf, "closure3_old_new_heldout"))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,6 +149,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_raters": p7_raters,
     "p7_agreement": p7_agreement,
+    "p7_reference": p7_reference,
     "p8_ids": p8_ids,
     "p9_packing": p9_packing,
     "p9_fill": p9_fill,
