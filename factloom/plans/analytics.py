@@ -71,7 +71,7 @@ def _(s, d):
 
 @add("D04", "SELECT fact_id, CASE WHEN predicate IN ('occurred_at', 'participated_in') THEN 'event_occurrence' WHEN predicate = 'published_by' THEN 'creation_or_publication' WHEN predicate = 'commemorates' THEN 'commemoration_or_reception' WHEN predicate LIKE 'raw:%' THEN 'context_time' ELSE 'relation_validity' END AS time_role, CASE WHEN (subject_type = 'Event') <> (object_type = 'Event') THEN CASE WHEN subject_type = 'Event' THEN subject_id ELSE object_id END END AS time_owner FROM assertions")
 def _(s, d):
-    """Time role by predicate, owner only where exactly one end is an event."""
+    """Time role by predicate, owner only where exactly one end is an event."""
     p, se, oe = c("predicate"), c("subject_type") == "Event", c("object_type") == "Event"
     role = F.when(p.isin("occurred_at", "participated_in"), "event_occurrence").when(p == "published_by", "creation_or_publication").when(p == "commemorates", "commemoration_or_reception").when(p.like("raw:%"), "context_time").otherwise("relation_validity")
     return facts(s, d).select("fact_id", role.alias("time_role"), F.when(se != oe, F.when(se, c("subject_id")).otherwise(c("object_id"))).alias("time_owner"))
@@ -484,7 +484,7 @@ def _(s, d):
 
 @add("M-COVERAGE", f"SELECT method, round(avg(a), 9) AS coverage, round(sum(a * (1 - correct)) / nullif(sum(a), 0)::DOUBLE, 9) AS selective_risk, round(1 - sum(a * (1 - correct)) / nullif(sum(a), 0)::DOUBLE, 9) AS selective_accuracy, round(avg(a * (1 - correct)), 9) AS general_risk, round(avg(a * correct), 9) AS safe_coverage, round(sum(a * (1 - correct)) / nullif(sum(1 - correct), 0)::DOUBLE, 9) AS error_exposure FROM (SELECT *, (score >= 0.5 AND gate)::INTEGER AS a FROM ({_RUN})) GROUP BY 1")
 def _(s, d):
-    """M-RC-CONSTRAINED: accepted by score and hard gate."""
+    """Accepted by score and hard gate."""
     out = stats.selective_summary(runs(s, d).withColumn("accepted", (c("score") >= 0.5) & c("gate")), ["method"])
     return _r(out, *out.columns[1:])
 

@@ -131,9 +131,6 @@ def _(s, d):
     return base.entities(s, d).filter(t.isNotNull()).select("entity_id", (((t == "Person") & n.rlike("(会|社|厂|队|校|院)$")) | ((t == "Organization") & n.rlike("(先生|同志)$"))).alias("vetoed"))
 
 
-QUERIES["D15"], SQL["D15"] = QUERIES["D17"], SQL["D17"]
-
-
 @add("D16", "SELECT object_id AS entity_id, CASE WHEN bool_and(predicate = 'occurred_at') THEN 'Event_or_Place' WHEN bool_and(predicate IN ('led', 'trained')) THEN 'Organization' ELSE 'mixed' END AS hint, count(DISTINCT predicate) AS predicates FROM assertions WHERE object_id IS NOT NULL GROUP BY 1")
 def _(s, d):
     p = c("predicate")
@@ -426,7 +423,7 @@ def _(s, d):
 ALIASES = {
     "J-CATALOG-UDF": (analytics, "D29"), "A-MULTI-CTE": (analytics, "D31"), "W-FIRST-OBSERVED": (competency, "D41"), "W-CUMULATIVE": (analytics, "M-RC-CURVE-ROWS"), "W-TRAPEZOID": (analytics, "M-AURC"), "M-AUGRC": (analytics, "M-AURC"),
     "W-LATEST-PY": (relational, "W-LATEST"), "F-ALLEN": (analytics, "D54"), "F-FRAME-REL": (analytics, "D53"), "F-HASH-ID-VARIANTS": (relational, "F-HASH-ID"), "F-RANDOM": (relational, "W-STRATIFIED-TOPN"), "SRC-CHUNK-IN": (relational, "J-SEMI-IN"),
-    "SRC-ATTACH": (relational, "VIEW-TIER"), "D06": (analytics, "D04"), "D34": (competency, "CQ14"), "G-INDUCED": (analytics, "G-OVERVIEW"), "G-VERIFY": (analytics, "D76"), "M-RC-CONSTRAINED": (analytics, "M-COVERAGE"), "M-TAU-ACCEPT": (None, "M-UTILITY"),
+    "SRC-ATTACH": (relational, "VIEW-TIER"), "D34": (competency, "CQ14"), "G-INDUCED": (analytics, "G-OVERVIEW"), "G-VERIFY": (analytics, "D76"),
 }
 for _key, (_module, _of) in ALIASES.items():  # Ids that the survey gives to one construct in two places
     _m = _module or __import__(__name__, fromlist=["QUERIES"])
