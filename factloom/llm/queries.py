@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.llm.bpe import encode, token_counts
 from factloom.llm.components import record_groups
 from factloom.llm.consensus import clean_label, clean_votes, consensus, item_agreement, named_by_most, named_or_not, naming_votes, spectral_reliability
-from factloom.llm.glyphs import look_alike_pairs
+from factloom.llm.glyphs import look_alike_classes, look_alike_pairs
 from factloom.llm.mentions import mentions
 from factloom.llm.names import name_groups, record_forms, variant_pairs
 from factloom.llm.packing import fill_report, pack
@@ -18,12 +18,20 @@ from factloom.session import cut, table
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     entities = table(spark, sf, "v2_entities").select("entity_id", "canonical_name")
-    named = mentions(table(spark, sf, "page001_5_35").select("page_id", "vote", "parsed"))
+    named = mentions(table(spark, sf, "page001_5_35").select("page_id", "vote", "parsed"), repeated=True)
     return look_alike_pairs(entities, "entity_id", "canonical_name").unionByName(
         look_alike_pairs(named, "mention", "name", ["page_id"])
     )
 
 
+def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities and mentions whose name is written in two ways at least, with the form that all of its class share."""
+    entities = table(spark, sf, "v2_entities").select("entity_id", "canonical_name")
+    named = mentions(table(spark, sf, "page001_5_35").select("page_id", "vote", "parsed"), repeated=True)
+    of_entities = look_alike_classes(entities, "entity_id", "canonical_name").withColumn("page_id", F.lit(None).cast("long"))
+    return of_entities.unionByName(look_alike_classes(named, "mention", "name", ["page_id"]))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     facts = table(spark, sf, "research_assertions").select(
         F.lit("fact").alias("space"), F.col("fact_id").alias("record_id"), F.col("merged_into").alias("via")
@@ -144,6 +152,7 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
@@ -176,13 +185,19 @@ flat AS (SELECT page_id, vote, unnest(parsed.entities) AS e, unnest(range(len(pa
 mentions AS (
   SELECT DISTINCT printf('P%09d/%d/%03d', page_id, vote, pos) AS id, page_id AS scope, e.name AS name FROM flat WHERE e.name IS NOT NULL)
 """
-SQL = {
-    "p1_found": f"""
+_FORMED = f"""
 WITH {_MENTIONS},
 names AS (
   SELECT DISTINCT entity_id AS id, -1 AS scope, canonical_name AS name FROM v2_entities WHERE entity_id IS NOT NULL AND canonical_name IS NOT NULL
   UNION ALL SELECT * FROM mentions),
 formed AS (SELECT *, {_FORM} AS form FROM names)
+"""
+SQL = {
+    "p1_classes": f"""{_FORMED},
+sizes AS (SELECT scope, form, count(*) AS n_ids, count(DISTINCT name) AS n_spellings FROM formed GROUP BY 1, 2)
+SELECT nullif(f.scope, -1) AS page_id, f.form, f.id, f.name AS text, n_ids, n_spellings FROM formed f JOIN sizes s ON s.scope = f.scope AND s.form = f.form WHERE n_spellings > 1
+""",
+    "p1_found": f"""{_FORMED}
 SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM formed a JOIN formed b ON a.form = b.form AND a.scope = b.scope AND a.id < b.id AND a.name <> b.name
 """,
     "p5_found": """
