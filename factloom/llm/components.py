@@ -28,17 +28,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     drops: list[DataFrame] = []
     while not graph.isEmpty():
         least = graph.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        told = graph.join(least, "u").select(F.col("v").alias("u"), "m").unionByName(least).distinct()
-        own = told.groupBy("u").agg(F.min("m").alias("parent"), F.count("*").alias("n"), F.max(F.col("m") == F.col("u")).alias("seed"))
-        own = cut(own)
-        links_up = told.join(own.filter("n > 1").select("u", "parent"), "u").filter("m <> parent").select(F.col("m").alias("u"), F.col("parent").alias("v")).distinct()
-        links_up = cut(links_up)
+        told = cut(graph.join(least, "u").select(F.col("v").alias("u"), "m").unionByName(least).distinct())
+        own = cut(told.groupBy("u").agg(F.min("m").alias("parent"), F.count("*").alias("n"), F.max(F.col("m") == F.col("u")).alias("seed")))
+        links_up = told.join(own.filter("n > 1").select("u", "parent"), "u").filter("m <> parent").select(F.col("m").alias("u"), F.col("parent").alias("v"))
         drops.append(own.filter(~F.col("seed")).select(F.col("u").alias("vertex"), "parent"))
-        graph = links_up.unionByName(links_up.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    dropped = None
-    for level in drops:
-        dropped = level if dropped is None else dropped.unionByName(level)
-    if dropped is None:
+        ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        graph = cut(links_up.select(F.inline(ends)).distinct())  # read by the next round's count, minimum and join
+    if not drops:
         return vertices.select("vertex", F.col("vertex").alias("root"))
     # the last to drop hang on seeds; going back, each earlier level hangs on vertices that have their root by then
     rooted = drops[-1].select("vertex", F.col("parent").alias("root"))
