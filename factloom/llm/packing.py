@@ -2,7 +2,9 @@
 
 Each item goes where the sum, over all residual gaps, of the squared number of open containers with that gap becomes
 smallest; of equal choices to the tightest. Items are packed in shards of bounded size, so that no task sees the corpus;
-what the shards leave badly filled is packed again as whole blocks, in ever fewer shards, until one is left.
+what the shards leave badly filled is packed again as whole blocks, in ever fewer shards. Two blocks fit together only if
+one of them is at most half full, so those go on, and of the fuller ones no more than they can fill, the emptiest first:
+a level's shards stay bounded whatever the sizes.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from factloom.session import cut
 
 SHARD_ITEMS = 40_000
+FILL_BINS = 64
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -70,6 +73,34 @@ def _pack_group(level: int, capacities: dict[int, int]) -> Callable:
     return run
 
 
+def _going_on(filled: DataFrame, capacities: dict[int, int], refill_below: float) -> tuple[DataFrame, int]:
+    """The containers (profile_id, container_id, n_tokens) worth packing again, and about how many they are.
+
+    All that are at most half full, and of the fuller ones as many, the emptiest first: whatever can be saved by merging
+    blocks can be saved with these. The counts by profile and 64th of the capacity come to the driver.
+    """
+    capacity = F.create_map(*[F.lit(x) for p, c in capacities.items() for x in (p, float(c))])[F.col("profile_id")]
+    share = F.col("n_tokens") / capacity
+    marked = filled.filter(share < refill_below).withColumn("bin", F.when(share <= 0.5, -1).otherwise(F.floor(share * FILL_BINS).cast("int")))
+    counts: dict[int, dict[int, int]] = {p: {} for p in capacities}
+    for r in marked.groupBy("profile_id", "bin").count().collect():
+        counts[r["profile_id"]][r["bin"]] = r["count"]
+    last, part, total = {}, {}, 0
+    for p, of in counts.items():
+        room = small = of.get(-1, 0)
+        last[p], part[p] = -1, 1.0
+        for b in sorted(x for x in of if x >= 0):
+            if room <= 0:
+                break
+            last[p], part[p] = b, min(1.0, room / of[b])
+            room -= of[b]
+        total += 2 * small - max(room, 0)
+    pick = lambda of, kind: F.create_map(*[F.lit(x) for p, v in of.items() for x in (p, kind(v))])[F.col("profile_id")]
+    drawn = F.pmod(F.xxhash64("container_id", F.lit(7)), F.lit(1 << 20)) < pick(part, float) * (1 << 20)
+    kept = marked.filter((F.col("bin") < pick(last, int)) | (F.col("bin") == -1) | ((F.col("bin") == pick(last, int)) & drawn))
+    return kept.select("profile_id", "container_id", "n_tokens"), total
+
+
 def pack(sizes: DataFrame, profiles: DataFrame, key: str, tokens: str = "n_tokens", refill_below: float = 0.995) -> DataFrame:
     """(profile_id, key, part_no, start_token, n_tokens, container_id): every item in a container of every profile.
 
@@ -109,10 +140,12 @@ def pack(sizes: DataFrame, profiles: DataFrame, key: str, tokens: str = "n_token
     )
     level = 0
     while shards > 1 and capacities:
-        level, shards = level + 1, math.ceil(shards / 64)
-        filled = placed.groupBy("profile_id", "container_id").agg(F.sum("n_tokens").alias("n_tokens"))
-        limits = F.create_map(*[F.lit(x) for p, c in capacities.items() for x in (p, float(c))])
-        loose = filled.filter(F.col("n_tokens") < refill_below * limits[F.col("profile_id")])
+        filled = cut(placed.groupBy("profile_id", "container_id").agg(F.sum("n_tokens").alias("n_tokens")))
+        loose, n = _going_on(filled, capacities, refill_below)
+        fewer = max(math.ceil(shards / 64), math.ceil(n / SHARD_ITEMS))
+        if n == 0 or fewer >= shards:
+            break
+        level, shards = level + 1, fewer
         moved = (
             loose.select("profile_id", F.col("container_id").alias("item"), "n_tokens", shard("container_id", shards).alias("shard"))
             .groupBy("profile_id", "shard")

@@ -64,3 +64,34 @@ def test_pack(spark, monkeypatch):
     assert packing.pack(df.limit(0), prof, "doc_id").count() == 0 and packing.pack(df, prof.limit(0), "doc_id").count() == 0
     report = packing.fill_report(packing.pack(df, prof, "doc_id"), prof.dropna().distinct()).collect()
     assert all(r["fullest"] <= r["capacity_tokens"] and r["used_share"] > 0.85 for r in report)
+
+
+def test_sizes_of_which_no_two_fit_go_no_further(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 200)
+    seen = []
+    real = packing._pack_group
+
+    def watched(level, capacities):
+        seen.append(level)
+        return real(level, capacities)
+
+    monkeypatch.setattr(packing, "_pack_group", watched)
+    rng = random.Random(4)
+    prof = spark.createDataFrame([(1, 100)], "profile_id int, capacity_tokens long")
+    sizes = [rng.randint(51, 98) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long")
+    assert packing.pack(df, prof, "doc_id").select("container_id").distinct().count() == 3000 and seen == [0]
+    filled = spark.createDataFrame([(1, f"c{i}", n) for i, n in enumerate([*sizes, *[20] * 50, 49, 50])], "profile_id int, container_id string, n_tokens long")
+    kept, n = packing._going_on(filled, {1: 100}, 0.995)
+    loads = sorted(r["n_tokens"] for r in kept.collect())
+    assert n == 104 and loads[:52] == [20] * 50 + [49, 50] and len(loads) < 52 + 52 * 1.6 and max(loads) <= 53
+
+
+def test_small_blocks_fill_the_full_ones_of_other_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 300)
+    rng = random.Random(6)
+    sizes = [70 if i % 10 else 30 for i in range(3000)] + [rng.randint(1, 30) for _ in range(2000)]
+    prof = spark.createDataFrame([(1, 100)], "profile_id int, capacity_tokens long")
+    out = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long"), prof, "doc_id")
+    load = {r["container_id"]: r["t"] for r in out.groupBy("container_id").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "t").collect()}
+    assert max(load.values()) <= 100 and sum(load.values()) == sum(sizes) and len(load) == 2700
