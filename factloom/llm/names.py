@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.components import connected_components
-from factloom.llm.glyphs import plain_form_udf
+from factloom.llm.glyphs import plain_column
 from factloom.llm.metric import _within, radius_join
 from factloom.session import cut
 
@@ -119,7 +119,7 @@ def read_person(name: str, given_names: GivenNames) -> dict | None:
     words = (comma[2] + " " + comma[1] if comma else name).split(" ")
     titled = len(words) > 1 and words[0].rstrip(".") in LATIN_TITLES.split()
     words = words[1:] if titled else words
-    if not 1 <= len(words) <= 4 or not all(WORD.match(w) for w in words) or (len(words) == 1 and not titled):
+    if not all(WORD.match(w) for w in words) or (len(words) == 1 and not titled):
         return None
     low = [w.lower() for w in words]
     if len(words) == 1:
@@ -148,7 +148,7 @@ def _read_cjk(name: str) -> dict | None:
     if not titled and len(parts) == 1 and bare[:1] in CJK_TITLES_BEFORE.split() and len(bare) >= 4:
         bare, titled = bare[1:], True
         parts = [bare]
-    if not all(re.fullmatch(f"[{CJK}]+", p) for p in parts) or len(parts) > 3 or not 2 <= len(bare) <= 14:
+    if not all(re.fullmatch(f"[{CJK}]+", p) for p in parts) or len(bare) < 2:
         return None
     if len(parts) == 1:
         return {"script": "cjk", "joined": bare, "block": bare if titled else None, "starts": [""] if titled else None}
@@ -239,7 +239,7 @@ def _reader(given: GivenNames, kinds: dict[str, list[str]]):
             yield unread
             comma = re.match(r"^([^,]+), ([^,]+)$", name)
             words = (comma[2] + " " + comma[1] if comma else name).lower().split(" ")
-            if person and 2 <= len(words) <= 4 and all(WORD.match(w) for w in words):
+            if person and len(words) >= 2 and all(WORD.match(w) for w in words):
                 yield name, "full", "person latin", words[-1], f"{words[0]} {words[-1]}", None, None
             return
         kind, block, g = f"person {read['script']}", read.get("block"), read.get("given")
@@ -266,27 +266,24 @@ def _same_numerals(a: str, b: str) -> Column:
     return F.regexp_replace(a, NUMERALS, " ") == F.regexp_replace(b, NUMERALS, " ")
 
 
-def _close_joined(joined: DataFrame) -> DataFrame:
-    """(a, b) hubs of names without a dot that are one edit from another joined name. joined: j, role, named.
-
-    One end has to be a person's read name or to stand under a record of a person or body. Names of fewer than five
-    signs are let out: there another sign is another person.
+def _joined_ends(joined: DataFrame) -> DataFrame:
+    """(j, bare, sure) of names that stand joined, from j, role, named. Of two close ones that tie, one has to be without a
+    dot and one to be a person's read name or to stand under a record of a person or body. Names of fewer than five signs
+    are let out: there another sign is another person.
     """
-    ends = joined.filter(F.length("j") >= 5).groupBy("j").agg(F.max(F.col("role") == "short").alias("bare"), F.max((F.col("role") == "full") | F.col("named")).alias("sure"))
-    ends = cut(ends)
-    near = radius_join(ends.select(F.lit("joined").alias("kind"), F.lit("").alias("block"), F.col("j").alias("text")))
+    return joined.filter(F.length("j") >= 5).groupBy("j").agg(F.max(F.col("role") == "short").alias("bare"), F.max((F.col("role") == "full") | F.col("named")).alias("sure"))
+
+
+def _close_joined(ends: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b) hubs of names without a dot that are one edit from another joined name."""
     end = lambda k: ends.select(F.col("j").alias(f"text_{k}"), F.col("bare").alias(f"bare_{k}"), F.col("sure").alias(f"sure_{k}"))
     met = near.join(end("a"), "text_a").join(end("b"), "text_b").filter("(bare_a or bare_b) and (sure_a or sure_b)").filter(_same_numerals("text_a", "text_b"))
     return met.select(_joined_hub("text_a").alias("a"), _joined_hub("text_b").alias("b"))
 
 
-def _close_plain(unread: DataFrame) -> DataFrame:
+def _close_plain(keys: DataFrame, named: DataFrame, near: DataFrame) -> DataFrame:
     """(a, b) of unread forms and hubs of their plain keys, where a record says person or body of one of the ends."""
-    keys = cut(unread.select("form", "named", F.explode("joined").alias("k")))
-    named = cut(keys.groupBy("k").agg(F.max("named").alias("named")))
-    near = radius_join(named.filter(F.length("k") >= 5).select(F.lit("plain").alias("kind"), F.lit("").alias("block"), F.col("k").alias("text")))
-    end = lambda k: named.select(F.col("k").alias(f"text_{k}"), F.col("named").alias(f"named_{k}"))
-    met = cut(near.join(end("a"), "text_a").join(end("b"), "text_b").filter("named_a or named_b").filter(_same_numerals("text_a", "text_b")).select("text_a", "text_b"))
+    met = cut(near.filter(_same_numerals("text_a", "text_b")).select("text_a", "text_b"))
     told = named.filter("named").select("k").union(met.select("text_a")).union(met.select("text_b")).distinct()
     hub = lambda k: F.concat_ws("\x1f", F.lit("\x01plain"), k)
     return keys.join(told, "k").select(F.col("form").alias("a"), hub("k").alias("b")).unionByName(met.select(hub("text_a").alias("a"), hub("text_b").alias("b")))
@@ -294,7 +291,7 @@ def _close_plain(unread: DataFrame) -> DataFrame:
 
 def _pets(bare: DataFrame) -> DataFrame:
     """(a, b) of pet forms and the hub of the only recorded person they fit. bare: form, j, person, of names without a dot."""
-    udf = F.udf(pet_of, "string")
+    udf = F.pandas_udf(lambda names: names.map(pet_of), "string")
     pets = bare.withColumn("pet", udf("j"))
     whole = pets.filter(F.col("person") & (F.col("pet").isNull() | F.col("pet").startswith("="))).select("j").distinct()
     brief = F.when(F.length("j") == 3, F.concat(F.substring("j", 1, 1), F.lit("*"), F.substring("j", 3, 1)))
@@ -351,17 +348,22 @@ def name_groups(named: DataFrame, aliases: DataFrame) -> DataFrame:
     full = read.filter("role = 'full'").select("form", "kind", "block", "key", "joined")
     own_hub = F.when(person, hub(F.col("kind"), F.lit(""), F.col("key"))).otherwise(hub(F.col("kind"), F.col("block"), F.col("key")))
     full = full.withColumn("hub", own_hub)
-    near = radius_join(full.select("kind", F.when(person, F.lit("")).otherwise(F.col("block")).alias("block"), F.col("key").alias("text")))
-    close = near.select(hub(F.col("kind"), F.col("block"), F.col("text_a")).alias("a"), hub(F.col("kind"), F.col("block"), F.col("text_b")).alias("b"))
-    joined = read.filter(person & F.col("joined").isNotNull())
-    by_joined = joined.select("form", "role", "person", "named", F.explode("joined").alias("j"))
-    by_joined = cut(by_joined)
+    by_joined = cut(read.filter(person & F.col("joined").isNotNull()).select("form", "role", "person", "named", F.explode("joined").alias("j")))
+    ends = cut(_joined_ends(by_joined))
+    keys = cut(read.filter("role = 'plain'").select("form", "named", F.explode("joined").alias("k")))
+    named = cut(keys.groupBy("k").agg(F.max("named").alias("named")))
+    texts = full.select("kind", F.when(person, F.lit("")).otherwise(F.col("block")).alias("block"), F.col("key").alias("text"), F.lit(True).alias("asks"))
+    texts = texts.unionByName(ends.select(F.lit("joined").alias("kind"), F.lit("").alias("block"), F.col("j").alias("text"), F.col("sure").alias("asks")))
+    texts = texts.unionByName(named.filter(F.length("k") >= 5).select(F.lit("plain").alias("kind"), F.lit("").alias("block"), F.col("k").alias("text"), F.col("named").alias("asks")))
+    near = cut(radius_join(texts))
+    read_hub = lambda text: hub(F.col("kind"), F.col("block"), F.col(text))
+    close = near.filter("kind not in ('joined', 'plain')").select(read_hub("text_a").alias("a"), read_hub("text_b").alias("b"))
     whole = by_joined.select(F.col("form").alias("a"), _joined_hub("j").alias("b"))
     pets = _pets(by_joined.filter("role = 'short'"))
-    plain = _close_plain(read.filter("role = 'plain'"))
-    sure = cut(full.select(F.col("form").alias("a"), F.col("hub").alias("b")).unionByName(close).unionByName(whole).unionByName(_close_joined(by_joined)).unionByName(pets).unionByName(plain))
-    first = connected_components(sure)
-    roots = cut(first)
+    bare = _close_joined(ends, near.filter("kind = 'joined'"))
+    plain = _close_plain(keys, named, near.filter("kind = 'plain'"))
+    sure = full.select(F.col("form").alias("a"), F.col("hub").alias("b")).unionByName(close).unionByName(whole).unionByName(bare).unionByName(pets).unionByName(plain)
+    roots = cut(connected_components(sure))
     # what leaves something out follows the one candidate of its block that begins so
     rooted = full.join(roots.withColumnRenamed("vertex", "form"), "form")
     split = F.split("block", r"\|")
@@ -394,12 +396,12 @@ def record_forms(entities: DataFrame, mentions: DataFrame) -> tuple[DataFrame, D
         "entity_id", "canonical_name", types.alias("type"),
         F.expr("try_variant_get(try_parse_json(aliases_json), '$', 'array<string>')").alias("aliases"),
     )
-    own = cut(rows.withColumn("form", plain_form_udf("canonical_name")).select("entity_id", "form", "type", "aliases"))
+    own = cut(rows.withColumn("form", plain_column(F.col("canonical_name"))).select("entity_id", "form", "type", "aliases"))
     distinct_names = mentions.select("name").distinct()
-    forms = cut(distinct_names.withColumn("form", plain_form_udf("name")))
+    forms = cut(distinct_names.withColumn("form", plain_column(F.col("name"))))
     said = mentions.join(forms, "name").select("mention", "page_id", "vote", "form")
     listed = own.select("form", "type", F.explode("aliases").alias("alias")).filter("alias is not null").distinct()
-    listed = listed.withColumn("alias", plain_form_udf("alias")).filter("alias <> form")
+    listed = listed.withColumn("alias", plain_column(F.col("alias"))).filter("alias <> form")
     agent = F.col("type").isin("Person", "Organization", "Other")
     named = own.select("form", (F.col("type") == "Person").alias("person"), (F.col("type") == "Organization").alias("body"))
     named = named.na.fill(False).unionByName(forms.select("form", F.lit(False).alias("person"), F.lit(False).alias("body")))
@@ -407,13 +409,30 @@ def record_forms(entities: DataFrame, mentions: DataFrame) -> tuple[DataFrame, D
     return own.select("entity_id", "form").distinct(), said, named, aliases
 
 
-def variant_pairs(entities: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(id_a, id_b): entities of one person or organisation with visibly different names, and entities with mentions so."""
+def _in_groups(entities: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities (entity_id, form, group) and mentions (mention, form, group) that stand in a group."""
     own, said, named, aliases = record_forms(entities, mentions)
     groups = cut(name_groups(named, aliases))
-    in_group = cut(own.join(groups, "form"))
+    return cut(own.join(groups, "form")), said.join(groups, "form").select("mention", "form", "group")
+
+
+def variant_groups(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(record_id, group_id, n_records, n_spellings): entities and mentions of groups with two visibly different names.
+
+    One row per record, however large the group: nothing is paired. group_id is the group's smallest form.
+    """
+    own, heard = _in_groups(entities, mentions)
+    rows = own.select(F.col("entity_id").alias("record_id"), "form", "group").unionByName(heard.select(F.col("mention").alias("record_id"), "form", "group"))
+    by_form = rows.groupBy("group", "form").agg(F.count("*").alias("n"))
+    sizes = by_form.groupBy("group").agg(F.sum("n").alias("n_records"), F.count("*").alias("n_spellings"), F.min("form").alias("group_id")).filter("n_spellings > 1")
+    return rows.join(sizes, "group").select("record_id", "group_id", "n_records", "n_spellings")
+
+
+def variant_pairs(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(id_a, id_b): entities of one person or organisation with visibly different names, and entities with mentions so."""
+    in_group, said = _in_groups(entities, mentions)
     other = in_group.select("group", F.col("entity_id").alias("id_b"), F.col("form").alias("form_b"))
     pairs = in_group.join(other, "group").filter("entity_id < id_b and form <> form_b").select(F.col("entity_id").alias("id_a"), "id_b").distinct()
-    heard = said.join(groups, "form").select("group", F.col("mention"), F.col("form").alias("form_b"))
+    heard = said.withColumnRenamed("form", "form_b")
     both = in_group.join(heard, "group").filter("form <> form_b").select(F.least("entity_id", "mention").alias("id_a"), F.greatest("entity_id", "mention").alias("id_b"))
     return pairs.unionByName(both.distinct())

@@ -10,7 +10,7 @@ from factloom.llm.components import record_groups
 from factloom.llm.consensus import clean_label, clean_votes, consensus, item_agreement, named_by_most, named_or_not, naming_votes, spectral_reliability
 from factloom.llm.glyphs import look_alike_classes, look_alike_pairs
 from factloom.llm.mentions import mentions
-from factloom.llm.names import name_groups, record_forms, variant_pairs
+from factloom.llm.names import name_groups, record_forms, variant_groups, variant_pairs
 from factloom.llm.packing import fill_report, pack
 from factloom.llm.pii import personal_items, redact
 from factloom.session import cut, table
@@ -50,6 +50,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return variant_pairs(table(spark, sf, "v2_entities").select(*ENTITY_NAMES), named)
 
 
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record and mention of a name that is spelled in several ways, with its group and the group's counts."""
+    named = mentions(table(spark, sf, "page001_5_35").select("page_id", "vote", "parsed"))
+    return variant_groups(table(spark, sf, "v2_entities").select(*ENTITY_NAMES), named)
+
+
 VOTE_LABELS = ["AFTER_BETTER", "BEFORE_BETTER", "BOTH_WRONG", "INSUFFICIENT_EVIDENCE"]
 
 
@@ -155,6 +161,7 @@ QUERIES = {
     "p1_classes": p1_classes,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p7_found": p7_found,
     "p7_raters": p7_raters,
     "p7_agreement": p7_agreement,

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm.metric import distances_to, edit_distance, radius_join
 from factloom.llm.names import GivenNames, match_kind, read_body, read_person, settle_kinds, variant_pairs
@@ -18,16 +21,39 @@ def test_edit_distance_is_a_metric():
     assert all((distances_to(p, words) == [edit_distance(p, w) for w in words]).all() for p in words[:8])
 
 
-def test_radius_join_against_brute_force(spark, monkeypatch):
-    from factloom.llm import metric
+def _random_rows(rng, alphabet, longest, n):
+    words = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randrange(1, longest))) for _ in range(n)})
+    return words, [("k", rng.choice("xy"), w, 1) for w in words] + [("k", "x", words[0], 2), ("k", None, "a", 1)]
 
-    monkeypatch.setattr(metric, "CELL_TEXTS", 40)
-    rng = random.Random(5)
-    words = sorted({"".join(rng.choice("ab中") for _ in range(rng.randrange(1, 7))) for _ in range(300)})
-    rows = [("k", rng.choice("xy"), w, 1) for w in words] + [("k", "x", words[0], 2), ("k", None, "a", 1)]
-    got = {(r["block"], r["text_a"], r["text_b"]) for r in radius_join(spark.createDataFrame(rows, "kind string, block string, text string, home int")).collect()}
+
+@pytest.mark.parametrize("alphabet,longest", [("ab中", 7), ("abcdefgh", 16), ("".join(map(chr, range(0x4E00, 0x4E40))), 4)])
+def test_radius_join_against_brute_force(spark, alphabet, longest):
+    words, rows = _random_rows(random.Random(5), alphabet, longest, 300)
+    words = sorted({*words, *(w[:-1] for w in words if len(w) > 1)})
+    rows += [("k", "x", w, 1) for w in words]
+    df = spark.createDataFrame(rows, "kind string, block string, text string, home int")
+    got = {(r["block"], r["text_a"], r["text_b"]) for r in radius_join(df, cell_load=40).collect()}
     uniq = sorted({(b, w) for _, b, w, _ in rows if b})
     assert got == {(b, v, w) for b, v in uniq for b2, w in uniq if b == b2 and v < w and edit_distance(v, w) <= 1}
+    assert radius_join(df.limit(0)).count() == 0
+    asking = {(b, w) for b, w in uniq if (len(w) + ord(w[0])) % 3 == 0}
+    asks = F.udf(lambda w: (len(w) + ord(w[0])) % 3 == 0, "boolean")
+    some = {(r["block"], r["text_a"], r["text_b"]) for r in radius_join(df.withColumn("asks", asks("text")), cell_load=40).collect()}
+    assert some == {(b, v, w) for b, v, w in got if (b, v) in asking or (b, w) in asking}
+
+
+def test_cells_have_guests_and_stay_under_the_bound(spark):
+    from factloom.llm.metric import _partition
+
+    rng = random.Random(9)
+    given = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 12))) for _ in range(25)]
+    words = sorted({rng.choice(given) + " " + "".join(rng.choice("aeioklmr") for _ in range(rng.randrange(5, 9))) for _ in range(1500)})
+    df = spark.createDataFrame([("k", "k", "", w, True) for w in words], "cell string, kind string, block string, text string, home boolean")
+    small, stuck = _partition(df, 200, 1, 12)
+    rows = [r for part in small for r in part.collect()]
+    size = Counter(r["cell"] for r in rows)
+    assert len(size) > 5 and max(size.values()) <= 250 and any(not r["home"] for r in rows)
+    assert sum(r["home"] for r in rows) + sum(r["home"] for part in stuck for r in part.collect()) == len(words)
 
 
 def test_long_texts(spark):
