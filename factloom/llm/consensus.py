@@ -3,8 +3,9 @@
 An annotator's reliability is the entry of the leading eigenvector of the annotators' agreement matrix. Votes are
 centred by each annotator's own label shares, so that agreement by chance, and annotators who always say the same,
 count nothing; every entry is corrected for the number of items that two annotators share. The matrix is never built:
-each power step runs as sparse joins of the votes with the current vector. Votes weighted so give a first consensus;
-from it each annotator's confusion of labels is counted over all items, and the votes are weighed once more by it.
+each power step runs as sparse joins of the votes with the current vector, until the vector stands still. Votes weighted
+so give the consensus. One number per annotator can't use who swaps two labels but is consistent; as a named option
+(sharpen) each annotator's confusion of labels is counted against that consensus, and the votes are weighed by it.
 """
 
 from __future__ import annotations
@@ -38,26 +39,33 @@ def _is(label: str) -> Column:
     return (F.col("label") == label).cast("double")
 
 
-def spectral_reliability(votes: DataFrame, labels: Sequence[str], rounds: int = 8) -> DataFrame:
+def spectral_reliability(votes: DataFrame, labels: Sequence[str], tolerance: float = 1e-3, most_rounds: int = 200) -> DataFrame:
     """(rater, n_votes, reliability): about 1 for a rater who is always right, 0 for chance or ever the same label,
     below 0 for worse.
 
     votes is the result of clean_votes. Each round, rater i gets the sum over the other raters j of reliability j times
-    their centred agreement with i, divided by the sum of reliability j squared over the items that both voted on.
+    their centred agreement with i, divided by the sum of reliability j squared over the items that both voted on. The
+    rounds end when no entry moves by more than tolerance times the greatest, and raise an error after most_rounds.
     """
     k = range(len(labels))
     shares = votes.groupBy("rater").agg(F.count("*").alias("n_votes"), *(F.avg(_is(x)).alias(f"q{i}") for i, x in zip(k, labels, strict=True)))
     shares = cut(shares)
     x = cut(votes.join(shares, "rater").select("item", "rater", *((_is(y) - F.col(f"q{i}")).alias(f"x{i}") for i, y in zip(k, labels, strict=True))))
     r = shares.select("rater", F.lit(1.0).alias("r"))
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         weighted = x.join(r, "rater")
         of_item = weighted.groupBy("item").agg(F.sum(F.col("r") * F.col("r")).alias("qq"), *(F.sum(F.col("r") * F.col(f"x{i}")).alias(f"s{i}") for i in k))
         both = weighted.join(of_item, "item")
         agree = sum((F.col(f"x{i}") * (F.col(f"s{i}") - F.col("r") * F.col(f"x{i}")) for i in k), F.lit(0.0))
-        step = both.groupBy("rater").agg(F.first("r").alias("r"), F.sum(agree).alias("u"), F.sum(F.col("qq") - F.col("r") * F.col("r")).alias("d"))
+        step = both.groupBy("rater").agg(F.first("r").alias("old"), F.sum(agree).alias("u"), F.sum(F.col("qq") - F.col("r") * F.col("r")).alias("d"))
         moved = F.when(F.col("d") > 1e-12, F.col("u") / F.when(F.col("d") > 1e-12, F.col("d"))).otherwise(0.0)
-        r = cut(step.select("rater", ((F.col("r") + moved) / 2).alias("r")))  # the mean keeps the scale from swinging
+        told = cut(step.select("rater", "old", ((F.col("old") + moved) / 2).alias("r")))  # the mean keeps the scale from swinging
+        r = told.select("rater", "r")
+        move = told.agg(F.max(F.abs(F.col("r") - F.col("old"))).alias("by"), F.max(F.abs("r")).alias("of")).first()
+        if (move["by"] or 0.0) <= tolerance * max(move["of"] or 0.0, 1e-6):
+            break
+    else:
+        raise RuntimeError(f"the reliabilities still move after {most_rounds} rounds")
     total = r.agg(F.sum("r").alias("t")).first()["t"] or 0.0
     sign = 1.0 if total >= 0 else -1.0
     q2 = sum((F.col(f"q{i}") * F.col(f"q{i}") for i in k), F.lit(0.0))
@@ -73,10 +81,11 @@ def _best(scores: DataFrame, labels: Sequence[str]) -> DataFrame:
     return scores.select("item", pick.alias("consensus"))
 
 
-def consensus(votes: DataFrame, labels: Sequence[str], sharpen: int = 2) -> tuple[DataFrame, DataFrame]:
+def consensus(votes: DataFrame, labels: Sequence[str], sharpen: int = 0) -> tuple[DataFrame, DataFrame]:
     """((item, consensus), (rater, n_votes, reliability)) of the votes of clean_votes.
 
-    sharpen: how often the raters' confusions are counted against the consensus and the votes weighed by them.
+    With sharpen 0 the spectral weights alone decide. sharpen: how often the raters' confusions are counted against the
+    consensus and the votes weighed by them.
     Counts are smoothed by the rater's reliability, so that a rater of few votes keeps about its spectral weight.
     """
     k, n = range(len(labels)), len(labels)
@@ -108,15 +117,15 @@ def consensus(votes: DataFrame, labels: Sequence[str], sharpen: int = 2) -> tupl
 def item_agreement(votes: DataFrame, best: DataFrame) -> DataFrame:
     """(item, n_votes, consensus, consensus_share, pair_agreement): shares of votes and of vote pairs that agree.
 
-    pair_agreement is null where there is one vote only. Pairs are counted from the labels' counts, never formed.
+    An item of best without votes has n_votes 0 and null shares; pair_agreement is null where there is one vote only. Pairs are counted from the labels' counts, never formed.
     """
     counts = votes.groupBy("item", "label").agg(F.count("*").alias("n"))
-    item = counts.join(best, "item").groupBy("item", "consensus").agg(
-        F.sum("n").alias("n_votes"), F.sum(F.when(F.col("label") == F.col("consensus"), F.col("n")).otherwise(0)).alias("hits"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same")
+    item = best.join(counts, "item", "left").groupBy("item", "consensus").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_votes"), F.sum(F.when(F.col("label") == F.col("consensus"), F.col("n")).otherwise(0)).alias("hits"), F.sum(F.col("n") * (F.col("n") - 1)).alias("same")
     )
     pairs = F.col("n_votes") * (F.col("n_votes") - 1)
     return item.select(
-        "item", "n_votes", "consensus", F.round(F.col("hits") / F.col("n_votes"), 6).alias("consensus_share"),
+        "item", "n_votes", "consensus", F.round(F.when(F.col("n_votes") > 0, F.col("hits") / F.when(F.col("n_votes") > 0, F.col("n_votes"))), 6).alias("consensus_share"),
         F.round(F.when(pairs > 0, F.col("same") / F.when(pairs > 0, pairs)), 6).alias("pair_agreement"),
     )
 

@@ -87,17 +87,29 @@ def _page_votes(spark: SparkSession, sf: str) -> DataFrame:
     return cut(v.select(item.alias("item"), F.concat(F.lit("pass "), F.col("rater").cast("string")).alias("rater"), F.col("said").alias("label")))
 
 
-def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """A task without any valid vote gets the label that is the consensus of most tasks."""
-    votes = cut(_votes(spark, sf))
-    best, _ = consensus(votes, VOTE_LABELS)
+SHARPEN = 2  # one number per rater mislabels what a rater of swapped labels decides; the README gives both figures
+
+
+def _task_labels(spark: SparkSession, sf: str, votes: DataFrame, sharpen: int) -> DataFrame:
+    """(item, consensus) of every task; one without any valid vote gets the label that is the consensus of most tasks."""
+    best, _ = consensus(votes, VOTE_LABELS, sharpen)
     usual = best.groupBy("consensus").count().orderBy(F.desc("count"), "consensus").first()
     tasks = table(spark, sf, "closure3_votes").select(F.col("task_id").alias("item")).dropna().distinct()
-    voted = tasks.join(best, "item", "left").select(F.col("item").alias("item_id"), F.coalesce("consensus", F.lit(usual[0] if usual else None)).alias("label"))
+    return tasks.join(best, "item", "left").select("item", F.coalesce("consensus", F.lit(usual[0] if usual else None)).alias("consensus"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks by spectral weights sharpened by confusions, and the entities that most passes of a page name."""
+    voted = _task_labels(spark, sf, cut(_votes(spark, sf)), SHARPEN).select(F.col("item").alias("item_id"), F.col("consensus").alias("label"))
     pages = _page_consensus(spark, sf).select(F.col("page_id").cast("string").alias("item_id"), F.col("entity_id").alias("label"))
     return voted.unionByName(pages)
 
 
+def p7_spectral(spark: SparkSession, sf: str) -> DataFrame:
+    """The tasks' labels as the spectral weights alone decide."""
+    return _task_labels(spark, sf, cut(_votes(spark, sf)), 0).select(F.col("item").alias("item_id"), F.col("consensus").alias("label"))
+
+
 def _rated(votes: DataFrame, best: DataFrame, reliability: DataFrame) -> DataFrame:
     hits = votes.join(best, "item").groupBy("rater").agg(F.round(F.avg((F.col("label") == F.col("consensus")).cast("double")), 6).alias("consensus_share"))
     return reliability.join(hits, "rater").withColumnRenamed("rater", "rater_id")
@@ -108,13 +120,16 @@ def p7_raters(spark: SparkSession, sf: str) -> DataFrame:
     votes = cut(_votes(spark, sf))
     pages = _page_votes(spark, sf)
     passes = _rated(pages, named_or_not(pages), spectral_reliability(pages, ["named", "not_named"]))
-    return _rated(votes, *consensus(votes, VOTE_LABELS)).unionByName(passes)
+    return _rated(votes, *consensus(votes, VOTE_LABELS, SHARPEN)).unionByName(passes)
 
 
 def p7_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    """Agreement on each task, and on each entity (entity_id, null for tasks) that some pass of a page names."""
+    """Agreement on each task, and on each entity (entity_id, null for tasks) that some pass of a page names.
+
+    Tasks without a valid vote have n_votes 0: their label is the usual one, not a consensus.
+    """
     votes, pages = cut(_votes(spark, sf)), _page_votes(spark, sf)
-    tasks = item_agreement(votes, consensus(votes, VOTE_LABELS)[0]).withColumn("entity_id", F.lit(None).cast("string"))
+    tasks = item_agreement(votes, _task_labels(spark, sf, votes, SHARPEN)).withColumn("entity_id", F.lit(None).cast("string"))
     both = item_agreement(pages, named_or_not(pages))
     split = {"item": F.substring_index("item", "\x1f", 1), "entity_id": F.substring_index("item", "\x1f", -1)}
     return tasks.unionByName(both.withColumns(split))
@@ -131,7 +146,7 @@ def compared(best: DataFrame, heldout: DataFrame) -> DataFrame:
 
 
 def p7_reference(spark: SparkSession, sf: str) -> DataFrame:
-    best, _ = consensus(cut(_votes(spark, sf)), VOTE_LABELS)
+    best, _ = consensus(cut(_votes(spark, sf)), VOTE_LABELS, SHARPEN)
     return compared(best, table(spark, sf, "closure3_old_new_heldout"))
 
 
@@ -163,6 +178,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p7_found": p7_found,
+    "p7_spectral": p7_spectral,
     "p7_raters": p7_raters,
     "p7_agreement": p7_agreement,
     "p7_reference": p7_reference,

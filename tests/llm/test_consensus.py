@@ -33,7 +33,7 @@ def test_reliability_and_consensus(spark):
     rel = {r["rater"]: r["reliability"] for r in spectral_reliability(clean, LABELS).collect()}
     assert rel["r1"] > rel["r2"] > 0.5 and abs(rel["spam"]) < 0.1
     assert all(abs(rel[r] - p) < 0.15 for r, p in (("r1", 0.95), ("r2", 0.8), ("r3", 0.75), ("r4", 0.7), ("r5", 0.33)))  # right with p, else by chance
-    best, _ = consensus(clean, LABELS)
+    best, _ = consensus(clean, LABELS, sharpen=2)
     got = {r["item"]: r["consensus"] for r in best.collect()}
     good = sum(got[t] == x for t, x in truth.items()) / len(truth)
     count = {}
@@ -41,6 +41,8 @@ def test_reliability_and_consensus(spark):
         count.setdefault(t, []).append(label)
     plain = sum(max(sorted(set(v)), key=v.count) == truth[t] for t, v in count.items()) / len(truth)
     assert good > 0.95 and good > plain
+    alone = {r["item"]: r["consensus"] for r in consensus(clean, LABELS)[0].collect()}
+    assert sum(alone[t] == x for t, x in truth.items()) / len(truth) > plain  # the spectral weights alone
     share = {r["item"]: r for r in item_agreement(clean, best).collect()}
     assert len(share) == len(got) and all(0 <= r["consensus_share"] <= 1 for r in share.values())
 
@@ -56,3 +58,10 @@ def test_named_by_most(spark):
     passes = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (1, 2), (2, 0), (2, 1)], "page long, vote int")
     naming = spark.createDataFrame([(1, 0, "e"), (1, 0, "e"), (1, 1, "e"), (1, 2, "f"), (2, 0, "g")], "page long, vote int, label string")
     assert {tuple(r) for r in named_by_most(passes, naming, "page", "vote", "label").select("page", "label", "n_naming").collect()} == {(1, "e", 2)}
+
+
+def test_items_without_votes(spark):
+    votes = spark.createDataFrame([("t", "r", "A_X"), ("t", "s", "A_X")], "item string, rater string, label string")
+    best = spark.createDataFrame([("t", "A_X"), ("u", "B_X")], "item string, consensus string")
+    got = {r["item"]: (r["n_votes"], r["consensus_share"], r["pair_agreement"]) for r in item_agreement(votes, best).collect()}
+    assert got == {"t": (2, 1.0, 1.0), "u": (0, None, None)}
