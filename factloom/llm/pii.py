@@ -34,6 +34,8 @@ BEFORE_NAME_LATIN = "Contact: Interview with Transcribed by checked by copied by
 AFTER_NAME_LATIN = "recalls remembers writes told said"
 TITLES_LATIN = "Mr Mrs Ms Miss Dr Prof Comrade"
 BEFORE_OTHER_NUMBER = "编号,编号藏,档案号,藏,馆藏号,索书号,Item,Item No.,Item acc.,acc.,No.,Shelf mark,Inventory number,inventory number"
+CHECK_SIGNS = "10X98765432"  # of an identity number, by the weighted sum of its digits modulo 11
+ID_WORDS = "身份证,身份证号,身份证号码,证件号,证件号码,公民身份号码,ID number,identity number,ID No."
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 _UNTOUCHED = "，：；！？（）、。《》"
@@ -104,13 +106,13 @@ class Plain:
 CJK = "〇㐀-䶿一-鿿"
 L = "A-Za-zÀ-ÖØ-öø-ɏ̀-ͯ"
 UP = "A-ZÀ-ÖØ-Þ"
-_EMAIL_USER = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*$")
+_EMAIL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-.")
 _EMAIL_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _DIGIT_RUN = re.compile(r"[0-9][0-9 ()（）.-]{6,}")
 _LETTER_ID = re.compile(r"[A-Z]{2} ?[0-9]{2}")
 _HOUSE = re.compile(r"[0-9一二三四五六七八九十百]号")
 _LATIN_HOUSE = re.compile(rf"[0-9][A-Z]? [{UP}][a-z]|P\. ?O\. Box")
-_LATIN_FROM = re.compile(rf"(?:(?:{'|'.join(UNIT_LATIN.split())})\.? [0-9]+[A-Z]?, )?[0-9]*$")
+_DIGITS = frozenset("0123456789")
 _CAPITAL = re.compile(r"[A-Z][A-Za-z.]")
 _PHONE = re.compile(
     r"(?<![\dA-Za-z@/.-])(?:"
@@ -119,19 +121,24 @@ _PHONE = re.compile(
     r"|(?:\+44 ?(?:\(0\))?|0)(?:20 ?\d{4} ?\d{4}|7\d{3} ?\d{6}|1\d{3} ?\d{6})"
     r")(?![\d@/]|[.-]\d)"
 )
+_PHONE_ABROAD = re.compile(r"(?<![\dA-Za-z@/+])\+[1-9]\d{0,2}(?:[ .-]?(?:\(\d{1,5}\)|\d{1,12})){1,6}(?![\d@/]|[.-]\d)")
 _ID = re.compile(
     r"(?<![\dA-Za-z@/·.-])(?:\d{6} ?\d{8} ?\d{3}[\dXx]|\d{15}|\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2}(?:\d{2})? ?[A-Z]|[A-Z]{2}\d{7,8})(?![\dA-Za-z@/·]|[.-]\d)"
 )
-_NOT_OURS = re.compile(rf"(?:{'|'.join(map(re.escape, BEFORE_OTHER_NUMBER.split(',')))})[：: ]*$")
+_NOT_OURS = tuple(BEFORE_OTHER_NUMBER.split(","))
+_ID_LABELS = tuple(ID_WORDS.split(","))
+_LABEL_END = frozenset("：: ")
 _NUM = r"(?:\d{1,5}|[一二三四五六七八九十百〇零]{1,5})"
 _AREA = f"[{CJK}]"
-_NO_LEAD = "(?![住寄址自于在至往到从由])"
-_PART = rf"(?:{_NO_LEAD}[{CJK}]){{2,3}}?"
-_ADDRESS_CJK = re.compile(
-    rf"(?:{_PART}(?:省|自治区) ?)?(?:{_PART}[市州] ?)?(?:{_PART}[县区旗] ?)?(?:{_PART}[乡镇] ?)?"
-    rf"(?:(?:{_PART}村 ?)(?:{_NUM}[组队社] ?)?|{_PART}(?:{'|'.join(STREET_CJK.split())}) ?)"
+_LEAD = frozenset("住寄址自于在至往到从由")
+_STREET_END = tuple(f"{x}{gap}" for x in [*STREET_CJK.split(), "村"] for gap in ("", " "))
+_TEAM_END = re.compile(rf"{_NUM}[组队社] ?$")
+_FROM_NUMBER = re.compile(
     rf"{_NUM}(?:号院 ?{_NUM}号楼 ?(?:{_NUM}单元 ?)?(?:{_NUM}室?)?|号(?:楼 ?)?(?: ?{_NUM}单元 ?{_NUM}室| ?{_NUM}室)?)(?:[，, ]?(?:邮编|邮政编码)[：: ]?\d{{6}})?"
 )
+_NUM_SIGNS = frozenset("0123456789一二三四五六七八九十百〇零")
+_IDEOGRAPH = re.compile(f"[{CJK}]")
+_LEVEL_END = ("省", "自治区", "市", "州", "县", "区", "旗", "乡", "镇", "村")
 _CITY = rf"[{UP}][{L}'-]+(?: [{UP}][{L}'-]+)?"
 _POST = r"(?: (?:\d{5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2})(?![\w-]))"
 _UNIT = rf"(?:{'|'.join(UNIT_LATIN.split())})\.? \d+[A-Z]?"
@@ -176,19 +183,29 @@ def _date(text: str) -> bool:
     return 1800 <= int(text[:4]) <= 2100
 
 
-def _real_id(item: str) -> bool:
+def _real_id(item: str, labelled: bool) -> bool:
+    """Whether date and check sign fit; a number that the text itself calls one may be misread in its check sign."""
     digits = item.replace(" ", "")
     if re.fullmatch(r"\d{17}[\dXx]", digits):
-        return _date(digits[6:14])
+        total = sum(int(d) * pow(2, 17 - i, 11) for i, d in enumerate(digits[:17]))
+        return _date(digits[6:14]) and (labelled or CHECK_SIGNS[total % 11] == digits[17].upper())
     return _date("19" + digits[6:12]) if re.fullmatch(r"\d{15}", digits) else True
 
 
+def _back(plain: str, at: int, signs: frozenset[str]) -> int:
+    """Where the run of the signs that ends at a place begins."""
+    while at and plain[at - 1] in signs:
+        at -= 1
+    return at
+
+
 def _emails(plain: str) -> Iterator[tuple[int, int]]:
     at = plain.find("@")
     while at >= 0:
-        user, host = _EMAIL_USER.search(plain, max(0, at - 64), at), _EMAIL_HOST.match(plain, at + 1)
-        if user and host:
-            yield user.start(), host.end()
+        user = plain[_back(plain, at, _EMAIL_SIGNS) : at]
+        user = user[user.rfind("..") + 2 :] if ".." in user else user.lstrip(".")
+        if user and not user.endswith(".") and (host := _EMAIL_HOST.match(plain, at + 1)):
+            yield at - len(user), host.end()
         at = plain.find("@", at + 1)
 
 
@@ -199,22 +216,75 @@ def _numbers(plain: str) -> Iterator[tuple[int, int, str]]:
     ):
         for low, high in where:
             for m in pattern.finditer(plain, max(0, low), high):
-                if not _NOT_OURS.search(plain, max(0, m.start() - 16), m.start()) and (kind == "phone" or _real_id(m[0])):
+                label = _back(plain, m.start(), _LABEL_END)
+                if not plain.endswith(_NOT_OURS, 0, label) and (kind == "phone" or _real_id(m[0], plain.endswith(_ID_LABELS, 0, label))):
                     yield *m.span(), kind
+    for m in _PHONE_ABROAD.finditer(plain) if "+" in plain else ():
+        if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+            yield *m.span(), "phone"
+
+
+def _cjk_address_from(plain: str, number: int, low: int) -> int | None:
+    """Where the address whose house number begins at a place begins: after a lead word or what is no part, or None."""
+    at = number
+    if m := _TEAM_END.search(plain, max(low, at - 8), at):
+        at = m.start()
+        street = plain.endswith(("村", "村 "), low, at)
+    else:
+        street = plain.endswith(_STREET_END, low, at)
+    if not street:
+        return None
+    at -= plain[at - 1] == " "
+    end = at
+    while at > low:
+        c = plain[at - 1]
+        if c == " " and plain.endswith(_LEVEL_END, low, at - 1) or (c not in _LEAD or plain.startswith("自治", at - 1)) and _IDEOGRAPH.match(c):
+            at -= 1
+        else:
+            break
+    return at if end - at > 1 else None
+
+
+def _unit_before(plain: str, at: int) -> int:
+    """Where a unit ("Flat 12B, ") that ends at a place begins, or the place itself."""
+    if not plain.endswith(", ", 0, at):
+        return at
+    i = at - 2
+    i -= i > 0 and plain[i - 1].isascii() and plain[i - 1].isupper()
+    first = _back(plain, i, _DIGITS)
+    for unit in UNIT_LATIN.split() if first < i and plain[first - 1 : first] == " " else ():
+        for dot in ("", "."):
+            if plain.endswith(unit + dot, 0, first - 1):
+                return first - 1 - len(unit + dot)
+    return at
 
 
 def _addresses(plain: str, latin: bool) -> Iterator[tuple[int, int]]:
     done = 0
     for house in _HOUSE.finditer(plain) if "号" in plain else ():
-        if house.start() >= done and (m := _ADDRESS_CJK.search(plain, max(done, house.start() - 36), house.end() + 30)) and m.end() > house.start():
+        if house.start() < done:
+            continue
+        number = _back(plain, house.start() + 1, _NUM_SIGNS)
+        start = _cjk_address_from(plain, number, done)
+        if start is not None and (m := _FROM_NUMBER.match(plain, number)) and m.end() > house.start():
             done = m.end()
-            yield m.start(), m.end() - (plain[m.end() - 1] == " ")
+            yield start, m.end() - (plain[m.end() - 1] == " ")
     for house in _LATIN_HOUSE.finditer(plain) if latin else ():
-        low = max(0, house.start() - 24)
-        if m := _ADDRESS_LATIN.match(plain, low + _LATIN_FROM.search(plain[low : house.start()]).start()):
+        if m := _ADDRESS_LATIN.match(plain, _unit_before(plain, _back(plain, house.start(), _DIGITS))):
             yield m.span()
 
 
+def _name_from(plain: str, at: int) -> int:
+    """Where to look for a name that ends at a place from: 40 signs hold every ideographic one, four words every other."""
+    low = max(0, at - 40)
+    if not at or _IDEOGRAPH.match(plain[at - 1]):
+        return low
+    word = at
+    for _ in range(4):
+        word = plain.rfind(" ", 0, max(0, word))
+    return min(low, word + 1)
+
+
 def _names(plain: str, latin: bool) -> Iterator[tuple[int, int]]:
     for pattern in _CJK_NAMED + (_LATIN_NAMED if latin else []):
         for m in pattern.finditer(plain):
@@ -223,18 +293,34 @@ def _names(plain: str, latin: bool) -> Iterator[tuple[int, int]]:
     ends = [(_RECEIVES, _BEFORE_RECEIVES), (_TITLE_AFTER, _BEFORE_TITLE)] + ([(_SAYS, _BEFORE_SAYS)] if latin else [])
     for after, before in ends:
         for m in after.finditer(plain):
-            low = max(0, m.start() - 40)
+            low = _name_from(plain, m.start())
             if (n := before.search(plain[low : m.start()])) and not _NOT_NAME.search(n["n"]):
                 yield low + n.start("n"), low + n.end("n")
 
 
+def _said_again(plain: str, names: set[str]) -> Iterator[tuple[int, int]]:
+    """Where names that a text introduces stand again in it: the same signs, and no part of a longer word or name."""
+    for name in names:
+        if len(name) < 3:
+            continue
+        outside = f"{CJK}·" if _IDEOGRAPH.match(name[0]) and "·" in name else "" if _IDEOGRAPH.match(name[0]) else r"\w-"
+        at = plain.find(name)
+        while at >= 0:
+            end = at + len(name)
+            if not outside or not re.match(f"[{outside}]", plain[at - 1 : at]) and not re.match(f"[{outside}]", plain[end : end + 1]):
+                yield at, end
+            at = plain.find(name, end)
+
+
 def _find(plain: str) -> Iterator[tuple[int, int, int, str]]:
     """Finds as rank, from, to and kind."""
     latin = _CAPITAL.search(plain) is not None
     yield from ((0, *x, "email") for x in _emails(plain))
     yield from ((1 + (k == "phone"), a, b, k) for a, b, k in _numbers(plain))
     yield from ((3, *x, "address") for x in _addresses(plain, latin))
-    yield from ((4, *x, "name") for x in _names(plain, latin))
+    named = list(_names(plain, latin))
+    yield from ((4, *x, "name") for x in named)
+    yield from ((6, *x, "name") for x in _said_again(plain, {plain[a:b] for a, b in named}))
     if "·" in plain:
         yield from ((5, *m.span(), "name") for m in _DOTTED.finditer(plain))
 

@@ -57,3 +57,29 @@ def test_frames(spark):
     red = {r["doc_id"]: r["text"] for r in redact(df, "doc_id", "text").collect()}
     assert red[1] == "请致信[EMAIL]" and red[2] is None and red[3] == "" and red[4].endswith(" [EMAIL]")
     assert personal_items(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_whole_items_however_long():
+    user = "a" * 70 + ".b" * 40
+    assert items(f"write to {user}@mail.example or call") == [("email", f"{user}@mail.example")]
+    assert items("x..y.z@mail.example")[0] == ("email", "y.z@mail.example")
+    far = "内蒙古自治区呼和浩特市和林格尔经济开发新区盛乐现代服务业集聚区建国门外大街辛亥革命纪念馆路12号3单元401室"
+    assert items(f"包裹请寄{far}。") == [("address", far)]
+    assert items("家住呼和浩特市新城区建国门外大街8号") == [("address", "呼和浩特市新城区建国门外大街8号")]
+    assert items("She lives at Apartment 1234567890123456789B, 12 " + "Q" + "u" * 60 + " Street.")[0][1].startswith("Apartment 1234567890123456789B, 12 Qu")
+    long = "Wilhelmina " + "K" + "o" * 80
+    assert items(f"and {long} recalls the winter.") == [("name", long)]
+    assert items("馆藏号" + " " * 40 + "110101199003074514") == []
+    assert items("A" * 5000 + " 女士" * 50) is not None
+
+
+def test_check_signs_and_other_countries():
+    assert items("身份证号11010519491231002X。") == [("id_number", "11010519491231002X")] and items("编码110105194912310021。") == []
+    assert items("身份证号110105194912310021。") == [("id_number", "110105194912310021")]  # misread, but named as one
+    assert items("编码11010519491231002X。") == [("id_number", "11010519491231002X")]
+    assert items("ring +49 30 901820 now") == [("phone", "+49 30 901820")] and items("a shift of +12 345 or +3") == []
+
+
+def test_names_said_again():
+    assert [x for _, x in items("联系人：王建国，手机待补。后来王建国去世。")] == ["王建国", "王建国"]
+    assert [x for _, x in items("Contact: Jane Okonkwo, at home. Jane Okonkwo-Hall wrote; so wrote Jane Okonkwo.")] == ["Jane Okonkwo", "Jane Okonkwo-Hall", "Jane Okonkwo"]
