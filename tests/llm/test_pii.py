@@ -82,4 +82,4 @@ def test_check_signs_and_other_countries():
 
 def test_names_said_again():
     assert [x for _, x in items("联系人：王建国，手机待补。后来王建国去世。")] == ["王建国", "王建国"]
-    assert [x for _, x in items("Contact: Jane Okonkwo, at home. Jane Okonkwo-Hall wrote; so wrote Jane Okonkwo.")] == ["Jane Okonkwo", "Jane Okonkwo-Hall", "Jane Okonkwo"]
+    assert [x for _, x in items("Contact: Jane Okonkwo, at home. Jane Okonkwo-Hall said so; so wrote Jane Okonkwo.")] == ["Jane Okonkwo", "Jane Okonkwo-Hall", "Jane Okonkwo"]
