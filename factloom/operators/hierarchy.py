@@ -1,8 +1,9 @@
 """Parent-child links of unknown depth to full hierarchies, with cycles (problem 2).
 
-Level-wise frontier joins run from the roots and extend path and depth by one level each. Nodes that no level
-reaches hang on a cycle; inside that remainder, pointer doubling finds the cycles' own nodes in logarithmically many
-joins, and the same level-wise walk then runs down from them.
+Level-wise frontier joins run from the roots and extend path and depth. What a level has attached leaves the links, and the
+links left over are laid out anew whenever they have halved, so a walk reads the links about twice in sum, not once a level;
+thin levels go several to a job. Nodes that no level reaches hang on a cycle; inside that remainder, pointer doubling finds
+the cycles' own nodes in logarithmically many joins, and the same walk then runs down from them.
 """
 
 from __future__ import annotations
@@ -38,18 +39,40 @@ def other_parents(df: DataFrame, child: str, parent: str) -> DataFrame:
     return both.distinct().join(parent_links(df, child, parent), ["node", "parent"], "left_anti")
 
 
-def _walk_down(start: DataFrame, links: DataFrame, sep: str) -> list[DataFrame]:
-    """Levels below start(node, root, depth, path); links(parent, node) must lead to each node once."""
-    levels, frontier = [], start
+LEVELS_A_JOB = 4
+
+
+def _walk_down(start: DataFrame, links: DataFrame) -> DataFrame:
+    """start(node, root, depth, ids) and all levels below; links(parent, node) must lead to each node once.
+
+    Each job attaches LEVELS_A_JOB levels; the next frontier is its last one. The levels are merged like the digits of a
+    counter, so that the union has logarithmically many branches and every row is written again as often at most.
+    """
+    open_links, laid_out, done = links, links.count(), []
+    frontier, attached = start, 0
     while True:
-        frontier = cut(
-            links.join(frontier.withColumnRenamed("node", "parent"), "parent").select(
-                "node", "root", (F.col("depth") + 1).alias("depth"), F.concat_ws(sep, "path", "node").alias("path")
+        levels, last = [], frontier
+        for k in range(LEVELS_A_JOB):
+            last = open_links.join(last.select(F.col("node").alias("parent"), "root", "depth", "ids"), "parent").select(
+                "node", "root", (F.col("depth") + 1).alias("depth"), F.array_append("ids", F.col("node")).alias("ids"), F.lit(k).alias("__level")
             )
-        )
-        if frontier.isEmpty():
-            return levels
-        levels.append(frontier)
+            levels.append(last)
+        step = cut(_union(levels).coalesce(shuffle_width(links.sparkSession)))
+        counts = {r["__level"]: r["count"] for r in step.groupBy("__level").count().collect()}  # LEVELS_A_JOB rows at most
+        if not counts:
+            return _union([start, *(d for _, d in done)])
+        reached, size = step.drop("__level"), 1
+        while done and done[-1][0] == size:
+            reached, size = cut(done.pop()[1].unionByName(reached).coalesce(shuffle_width(links.sparkSession))), size * 2
+        done.append((size, reached))
+        attached += sum(counts.values())
+        if LEVELS_A_JOB - 1 not in counts:
+            return _union([start, *(d for _, d in done)])
+        frontier = step.filter(F.col("__level") == LEVELS_A_JOB - 1).drop("__level")
+        if attached * 2 >= laid_out:
+            known = _union([d for _, d in done]).select("node")
+            open_links = cut(links.join(known, "node", "left_anti").repartition(shuffle_width(links.sparkSession), "parent"))
+            laid_out, attached = laid_out - attached, 0
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -78,7 +101,8 @@ def _cycle_roots(rest: DataFrame) -> DataFrame:
 
 
 def hierarchy(df: DataFrame, child: str, parent: str, sep: str = ">") -> DataFrame:
-    """One row per node named by a link: node, parent, root, depth (long), path (text joined by sep), cycle_state.
+    """One row per node named by a link: node, parent, root, depth (long), path (text joined by sep), ids (the same
+    as an array), cycle_state.
 
     cycle_state 'none': root is the node without a parent, depth the steps to it, path from it down.
     'on': the node lies on a cycle (a node that is its own parent included); root is the cycle's smallest id, depth 0,
@@ -91,32 +115,29 @@ def hierarchy(df: DataFrame, child: str, parent: str, sep: str = ">") -> DataFra
     links = cut(parent_links(df, child, parent).repartition(n, "parent"))
     roots = links.select(F.col("parent").alias("node")).distinct().join(links, "node", "left_anti")
     start = cut(
-        roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.col("node").alias("path"))
+        roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.array("node").alias("ids"))
     )
-    trees = _union([start, *_walk_down(start, links, sep)])
+    trees = _walk_down(start, links)
     rest = cut(links.join(trees.select("node"), "node", "left_anti"))
     done = trees.withColumn("cycle_state", F.lit("none"))
     if not rest.isEmpty():
         on = cut(
-            _cycle_roots(rest).select("node", "root", F.lit(0).cast("long").alias("depth"), F.col("node").alias("path"))
+            _cycle_roots(rest).select("node", "root", F.lit(0).cast("long").alias("depth"), F.array("node").alias("ids"))
         )
         tails = cut(rest.join(on.select("node"), "node", "left_anti").repartition(n, "parent"))
-        below = [] if tails.isEmpty() else _walk_down(on, tails, sep)
-        done = _union(
-            [done, on.withColumn("cycle_state", F.lit("on")), *(b.withColumn("cycle_state", F.lit("below")) for b in below)]
-        )
-    return done.join(links, "node", "left").select("node", "parent", "root", "depth", "path", "cycle_state")
+        all_below = on if tails.isEmpty() else _walk_down(on, tails)
+        done = done.unionByName(all_below.withColumn("cycle_state", F.when(F.col("depth") == 0, "on").otherwise("below")))
+    return done.join(links, "node", "left").select("node", "parent", "root", "depth", F.array_join("ids", sep).alias("path"), "ids", "cycle_state")
 
 
-def descendant_pairs(nodes: DataFrame, sep: str = ">") -> DataFrame:
-    """(ancestor, descendant, distance) of every node of hierarchy() and each node on its path above it.
+def descendant_pairs(nodes: DataFrame) -> DataFrame:
+    """(ancestor, descendant, distance) of every node of hierarchy() and each node above it, from the ids of its way down.
 
-    The pairs come from the paths themselves, without another join. Nodes on one cycle, each above the other, give no
-    pairs among each other; nodes below a cycle pair with their path from the cycle's first node on.
+    No join is needed, and ids may hold any sign. Nodes on one cycle, each above the other, give no pairs among each
+    other; nodes below a cycle pair with what lies above them from the cycle's first node on.
     """
-    steps = F.split("path", f"[{sep}]")
     return (
         nodes.filter(F.col("depth") > 0)
-        .select(F.col("node").alias("descendant"), "depth", F.posexplode(F.slice(steps, 1, F.col("depth").cast("int"))))
+        .select(F.col("node").alias("descendant"), "depth", F.posexplode(F.slice("ids", 1, F.col("depth").cast("int"))))
         .select(F.col("col").alias("ancestor"), "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
     )

@@ -61,3 +61,28 @@ def test_several_parents_and_descendants(spark):
 def test_code_key(spark):
     df = spark.createDataFrame([(" Part-Of",), ("partOf",), ("ｐａｒｔ＿ｏｆ",), ("part__of",), (None,)], "c string")
     assert [r[0] for r in df.select(code_key(F.col("c"))).collect()] == ["partof"] * 4 + [None]
+
+
+def test_long_chain_reads_the_links_about_twice(spark, monkeypatch):
+    from factloom.operators import hierarchy as module
+
+    laid_out = []
+    real = module.cut
+
+    def watched(df):
+        out = real(df)
+        if out.columns[:2] == ["parent", "node"] or out.columns == ["node", "parent"]:
+            laid_out.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "cut", watched)
+    links = [(f"n{i + 1:03d}", f"n{i:03d}", "") for i in range(120)] + [(f"m{i:03d}", "n000", "") for i in range(200)]
+    nodes = hierarchy(spark.createDataFrame(links, S), "child", "parent")
+    rows = {r["node"]: r for r in nodes.collect()}
+    assert rows["n120"]["depth"] == 120 and rows["n120"]["ids"] == [f"n{i:03d}" for i in range(121)] and len(rows) == 321
+    assert sum(laid_out) <= 3 * len(links)
+
+
+def test_ids_with_the_separator(spark):
+    nodes = hierarchy(spark.createDataFrame([("b>x", "a>", ""), ("c", "b>x", "")], S), "child", "parent")
+    assert {tuple(r) for r in descendant_pairs(nodes).collect()} == {("a>", "b>x", 1), ("a>", "c", 2), ("b>x", "c", 1)}
