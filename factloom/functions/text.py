@@ -56,15 +56,8 @@ def strip_suffix(name: Column, suffixes: list[str]) -> Column:
 
 
 def allen(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """F-ALLEN: nine-way relation of two intervals, the first true case of the list."""
-    return (
-        F.when((s1 == s2) & (e1 == e2), "equals").when(e1 < s2, "before").when(s1 > e2, "after").when((e1 == s2) | (s1 == e2), "meets")
-        .when(s1 == s2, "starts").when(e1 == e2, "ends").when((s1 > s2) & (e1 < e2), "during").when((s1 < s2) & (e1 > e2), "contains").otherwise("overlaps")
-    )
-
-
-def allen_forward(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """F-ALLEN as the upgrade U5 orders it: only an end on the other's start meets, and shared days at one end count inside."""
+    """F-ALLEN: nine-way relation of two intervals, the first true case: only an end on the other's start meets, and shared
+    days at one end count inside."""
     return (
         F.when(e1 < s2, "before").when(s1 > e2, "after").when(e1 == s2, "meets").when((s1 == s2) & (e1 == e2), "equals")
         .when((s1 == s2) & (e1 < e2), "starts").when((e1 == e2) & (s1 > s2), "ends").when((s1 >= s2) & (e1 <= e2), "during")

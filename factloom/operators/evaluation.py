@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.ranks import running
+
 
 def equal_count_bins(rows: DataFrame, bins: int, score: str, key: str) -> DataFrame:
     """(bin, n, score, correct): bins of equal counts by rising score. Scores are ranked by quantile bounds of the
     distinct scores' running counts, so that no window runs over all rows; equal scores share a bin."""
     at = rows.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum("correct").alias("k"))
-    below = F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-    total = F.sum("n").over(W.partitionBy())
-    b = F.least(F.floor(below * bins / total), F.lit(bins - 1)).cast("int")
+    at = running(at, [], [F.col("s")], {"upto": F.col("n")})
+    total = at.agg(F.sum("n")).first()[0] or 1
+    b = F.least(F.floor((F.col("upto") - F.col("n")) * bins / F.lit(total)), F.lit(bins - 1)).cast("int")
     return at.withColumn("bin", b).groupBy("bin").agg(F.sum("n").alias("n"), (F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("score"), (F.sum("k") / F.sum("n")).alias("correct"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 from factloom.operators import graph, stats
+from factloom.operators.ranks import running
 from factloom.plans import base
 from factloom.plans.base import over
 from factloom.session import cut, shuffle_width, table
@@ -218,7 +219,7 @@ def _(s, d):
 _DATED = "SELECT fact_id, subject_id, predicate, time_precision, start_date AS s, end_date AS e FROM assertions WHERE start_date <= end_date AND merged_into IS NULL AND research_tier = 'strict_semantic' AND subject_type = 'Event'"
 
 
-@add("D54", f"SELECT a.fact_id AS a, b.fact_id AS b, CASE WHEN a.s = b.s AND a.e = b.e THEN 'equals' WHEN a.e < b.s THEN 'before' WHEN a.s > b.e THEN 'after' WHEN a.e = b.s OR a.s = b.e THEN 'meets' WHEN a.s = b.s THEN 'starts' WHEN a.e = b.e THEN 'ends' WHEN a.s > b.s AND a.e < b.e THEN 'during' WHEN a.s < b.s AND a.e > b.e THEN 'contains' ELSE 'overlaps' END AS relation FROM ({_DATED}) a JOIN ({_DATED}) b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.fact_id < b.fact_id")
+@add("D54", f"SELECT a.fact_id AS a, b.fact_id AS b, CASE WHEN a.e < b.s THEN 'before' WHEN a.s > b.e THEN 'after' WHEN a.e = b.s THEN 'meets' WHEN a.s = b.s AND a.e = b.e THEN 'equals' WHEN a.s = b.s AND a.e < b.e THEN 'starts' WHEN a.e = b.e AND a.s > b.s THEN 'ends' WHEN a.s >= b.s AND a.e <= b.e THEN 'during' WHEN a.s <= b.s AND a.e >= b.e THEN 'contains' ELSE 'overlaps' END AS relation FROM ({_DATED}) a JOIN ({_DATED}) b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.fact_id < b.fact_id")
 def _(s, d):
     """Allen relations of an event's dated, unmerged strict facts of one predicate, smaller id first; D54-FAMILIES has the whole."""
     f = facts(s, d).filter("start_date <= end_date and merged_into is null and research_tier = 'strict_semantic' and subject_type = 'Event'")
@@ -263,7 +264,7 @@ def temporal_pairs(facts: DataFrame, links: DataFrame, support: DataFrame) -> Da
     every = _pairs_within(f, "subject_id", F.lit(True)).select(*ends, F.lit(1).alias("family")).unionByName(rest)
     name = lambda k, names: F.element_at(F.array(*map(F.lit, names)), k)
     return every.select(
-        c("a_id").alias("a"), c("b_id").alias("b"), X.allen_forward(c("a_s"), c("a_e"), c("b_s"), c("b_e")).alias("relation"),
+        c("a_id").alias("a"), c("b_id").alias("b"), X.allen(c("a_s"), c("a_e"), c("b_s"), c("b_e")).alias("relation"),
         name(F.greatest("a_p", "b_p") + 1, ("unknown", "month", "year", "period")).alias("precision"),
         name(c("family"), ("same_subject", "same_event", "same_state_subject")).alias("family"),
     )
@@ -478,8 +479,9 @@ def _(s, d):
 @add("M-RC-CURVE-ROWS", f"SELECT event_id, method, round(sum(1 - correct) OVER w / row_number() OVER w, 9) AS risk FROM ({_RUN}) WINDOW w AS (PARTITION BY method ORDER BY score DESC, correct, event_id ROWS UNBOUNDED PRECEDING)")
 def _(s, d):
     """W-CUMULATIVE: one point per accepted row."""
-    w = W.partitionBy("method").orderBy(F.desc("score"), "correct", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return runs(s, d).select("event_id", "method", F.round(F.sum(1 - c("correct")).over(w) / F.count("*").over(w), 9).alias("risk"))
+    rows = runs(s, d).select("event_id", "method", "score", "correct")
+    at = running(rows, ["method"], [F.desc("score"), c("correct"), c("event_id")], {"errors": 1 - c("correct")})
+    return at.select("event_id", "method", F.round(c("errors") / c("__place"), 9).alias("risk"))
 
 
 @add("M-COVERAGE", f"SELECT method, round(avg(a), 9) AS coverage, round(sum(a * (1 - correct)) / nullif(sum(a), 0)::DOUBLE, 9) AS selective_risk, round(1 - sum(a * (1 - correct)) / nullif(sum(a), 0)::DOUBLE, 9) AS selective_accuracy, round(avg(a * (1 - correct)), 9) AS general_risk, round(avg(a * correct), 9) AS safe_coverage, round(sum(a * (1 - correct)) / nullif(sum(1 - correct), 0)::DOUBLE, 9) AS error_exposure FROM (SELECT *, (score >= 0.5 AND gate)::INTEGER AS a FROM ({_RUN})) GROUP BY 1")

@@ -7,6 +7,8 @@ builds on it needs no distinct. Stage bounds are parameters, as the tables carry
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import stable_id
 from factloom.operators.intervals import partial_date
-from factloom.session import table
+from factloom.session import stored, table
 
 # Bounds of the eight stages by order, and the years of the basin's review.
 STAGE_BOUNDS = [
@@ -32,15 +34,31 @@ def latest(df: DataFrame, keys: list[str], *ties: str) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__rn = 1").drop("__rn")
 
 
+def layer(*sources: str) -> Callable:
+    """A frame that is built once per application and then read back: the base, event and state layers."""
+
+    def keep(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        @wraps(build)
+        def read(spark: SparkSession, sf: str) -> DataFrame:
+            return stored(spark, sf, build.__name__, sources, lambda: build(spark, sf))
+
+        return read
+
+    return keep
+
+
+@layer("research_assertions")
 def assertions(spark: SparkSession, sf: str) -> DataFrame:
     rows = latest(table(spark, sf, "research_assertions"), ["fact_id"], "merged_into", "merge_rule", "confidence")
     return rows.withColumns({"start_date": partial_date(F.col("time_start"), False), "end_date": partial_date(F.col("time_end"), True)})
 
 
+@layer("v2_entities")
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     return latest(table(spark, sf, "v2_entities"), ["entity_id"], "updated_at", "canonical_name")
 
 
+@layer("research_culture_states")
 def states(spark: SparkSession, sf: str) -> DataFrame:
     return latest(table(spark, sf, "research_culture_states"), ["state_id"], "supporting_fact_count")
 
@@ -48,15 +66,18 @@ def states(spark: SparkSession, sf: str) -> DataFrame:
 LINK_COLUMNS = ["event_id", "event_name", "fact_id", "event_endpoint", "counterpart_id", "counterpart_name", "counterpart_type", "predicate", "semantic_route", "occurrence_time_start", "occurrence_time_end", "occurrence_time_status"]
 
 
+@layer("research_event_assertion_links")
 def links(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["event_id", "fact_id", "event_endpoint"]
     return latest(table(spark, sf, "research_event_assertion_links"), keys, *(c for c in LINK_COLUMNS if c not in keys)).select(LINK_COLUMNS)
 
 
+@layer("research_culture_state_support")
 def state_support(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "research_culture_state_support").select("state_id", "fact_id", "support_role").dropna().distinct()
 
 
+@layer("research_event_cell_support")
 def cell_support(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "research_event_cell_support").select("cell_id", "fact_id", "support_role").dropna().distinct()
 
@@ -74,6 +95,7 @@ def regions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "research_culture_states").filter("region_id is not null").groupBy("region_id").agg(F.min("province_name").alias("province_name"))
 
 
+@layer("research_assertions")
 def stage_memberships(spark: SparkSession, sf: str) -> DataFrame:
     """J-INTERVAL-OVERLAP: facts in the stages that their interval meets, with the shared days.
 
@@ -90,6 +112,7 @@ def fact_regions(spark: SparkSession, sf: str) -> DataFrame:
     return facts.join(regions(spark, sf), "province_name").select("fact_id", "region_id")
 
 
+@layer("research_assertions", "research_event_assertion_links")
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """One row per event from its links: time and place evidence, trusted times, roles."""
     facts = assertions(spark, sf).select("fact_id", "province", "space_role")
@@ -128,6 +151,7 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
     return at.select("event_id", "event_name", "fact_id", "semantic_route", "region_id", order.alias("stage_order"), rank.alias("rank"))
 
 
+@layer("research_assertions", "research_event_assertion_links", "research_culture_states")
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of event, stage and region: dated facts of an event met with its placed facts (explicit), and strict
     facts that have both (context). Dates and places are made distinct per event before they meet."""
@@ -163,6 +187,7 @@ def _rules(column: str) -> list[Column]:
     return [kind[F.col(column)].alias("transition_type"), sure[F.col(column)].alias("confidence")]
 
 
+@layer("research_assertions", "research_culture_states", "research_culture_state_support")
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Transition candidates from shared supporting facts, with their publication gate.
 

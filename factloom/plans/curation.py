@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 from factloom.operators import evaluation, stats
+from factloom.operators.ranks import running
 from factloom.plans import analytics, base, competency, relational
 from factloom.plans.base import over
 from factloom.session import cut, table
@@ -203,10 +204,30 @@ def _(s, d):
     return table(s, d, "closure3_old_new_heldout").filter("task_id is not null").groupBy("task_id").agg(F.max(hit).alias("applied"))
 
 
-@add("D58", "SELECT a.fact_id, CASE WHEN n IS NULL THEN 'no_evidence' WHEN hit THEN 'aligned' ELSE 'mismatch' END AS alignment FROM assertions a LEFT JOIN (SELECT fact_id, count(*) AS n, bool_or(event_name = counterpart_name OR length(event_name) > 8) AS hit FROM links GROUP BY 1) l ON l.fact_id = a.fact_id")
+def provenance_alignment(facts: DataFrame, evidence: DataFrame, texts: int = 3) -> DataFrame:
+    """(fact_id, alignment): aligned if the subject's or object's name (two signs or more) stands in one of the fact's first
+    texts by rank, mismatch_with_evidence if not, no_evidence without a text. evidence: fact_id, rank, text.
+
+    The first texts are picked before the shuffle already (a limit per window group), so that a fact with a third of all
+    texts stays small. Names are trimmed; null names never hit, empty texts are no texts.
+    """
+    place = F.row_number().over(W.partitionBy("fact_id").orderBy("rank"))
+    first = evidence.filter("fact_id is not null and text <> ''").withColumn("place", place).filter(c("place") <= texts)
+    kept = first.groupBy("fact_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]).alias("first"))
+    hit = lambda k: F.coalesce((F.length(F.trim(k)) >= 2) & F.contains("joined", F.trim(k)), F.lit(False))
+    rows = facts.select("fact_id", "subject_name", "object_name").join(kept, "fact_id", "left").withColumn("joined", F.array_join("first", "\n"))
+    verdict = F.when(c("joined").isNull(), "no_evidence").when(hit("subject_name") | hit("object_name"), "aligned").otherwise("mismatch_with_evidence")
+    return rows.select("fact_id", verdict.alias("alignment"))
+
+
+_TEXTS = "SELECT fact_id, concat_ws(' ', event_name, counterpart_name) AS text, event_id || chr(31) || coalesce(event_endpoint, '') AS rank FROM links"
+
+
+@add("D58", f"SELECT a.fact_id, CASE WHEN joined IS NULL THEN 'no_evidence' WHEN (length(trim(subject_name)) >= 2 AND contains(joined, trim(subject_name))) OR (length(trim(object_name)) >= 2 AND contains(joined, trim(object_name))) THEN 'aligned' ELSE 'mismatch_with_evidence' END AS alignment FROM assertions a LEFT JOIN (SELECT fact_id, string_agg(text, chr(10) ORDER BY rank) AS joined FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY rank) AS r FROM ({_TEXTS}) WHERE text <> '') WHERE r <= 3 GROUP BY 1) l ON l.fact_id = a.fact_id WHERE research_tier = 'strict_semantic'")
 def _(s, d):
-    g = base.links(s, d).groupBy("fact_id").agg(F.bool_or((c("event_name") == c("counterpart_name")) | (F.length("event_name") > 8)).alias("hit"), F.count("*").alias("n"))
-    return facts(s, d).select("fact_id").join(g, "fact_id", "left").select("fact_id", F.when(c("n").isNull(), "no_evidence").when(c("hit"), "aligned").otherwise("mismatch").alias("alignment"))
+    """The tables have no evidence texts; the names that a fact's event links carry stand in for them."""
+    text = base.links(s, d).select("fact_id", F.concat_ws(" ", "event_name", "counterpart_name").alias("text"), F.concat_ws("\x1f", "event_id", F.coalesce("event_endpoint", F.lit(""))).alias("rank"))
+    return provenance_alignment(facts(s, d).filter("research_tier = 'strict_semantic'"), text)
 
 
 @add("D59", "SELECT a.fact_id, CASE WHEN c.fact_id IS NOT NULL THEN 'A' WHEN l.fact_id IS NOT NULL THEN 'B' WHEN m.fact_id IS NOT NULL THEN 'C' ELSE 'D' END AS level FROM assertions a LEFT JOIN (SELECT DISTINCT fact_id FROM cell_support) c ON c.fact_id = a.fact_id LEFT JOIN (SELECT DISTINCT fact_id FROM links) l ON l.fact_id = a.fact_id LEFT JOIN (SELECT DISTINCT merged_into AS fact_id FROM assertions) m ON m.fact_id = a.fact_id")
@@ -254,7 +275,8 @@ QUERIES["D68"], SQL["D68"] = (lambda s, d: QUERIES["D65"](s, d).groupBy("final_t
 @add("D66", "SELECT fact_id, row_number() OVER (PARTITION BY predicate ORDER BY CASE risk_tier WHEN 'D' THEN 0 WHEN 'C' THEN 1 WHEN 'B' THEN 2 ELSE 3 END, confidence NULLS FIRST, fact_id) AS place FROM assertions WHERE semantic_status = 'pending'")
 def _(s, d):
     order = [F.when(c("risk_tier") == "D", 0).when(c("risk_tier") == "C", 1).when(c("risk_tier") == "B", 2).otherwise(3), F.asc_nulls_first("confidence"), "fact_id"]
-    return facts(s, d).filter("semantic_status = 'pending'").select("fact_id", F.row_number().over(W.partitionBy("predicate").orderBy(*order)).alias("place"))
+    rows = facts(s, d).filter("semantic_status = 'pending'").select("fact_id", "predicate", "confidence", order[0].alias("rank"))
+    return running(rows, ["predicate"], [c("rank"), order[1], c("fact_id")]).select("fact_id", c("__place").alias("place"))
 
 
 @add("D67", "SELECT fact_id, concat_ws(',', CASE WHEN start_date IS NULL THEN 'no_time' END, CASE WHEN province IS NULL THEN 'no_place' END, CASE WHEN research_tier = 'unresolved' THEN 'unresolved' END, CASE WHEN merged_into IS NOT NULL THEN 'merged' END) AS blockers FROM assertions")
@@ -304,10 +326,36 @@ def _(s, d):
     return e.groupBy("page_id", F.lower("name").alias("k")).agg(F.countDistinct("vote").alias("votes"))
 
 
-@add("D84", "SELECT consensus_tier, count(*) AS n, sum((old_outcome = new_outcome)::INTEGER)::BIGINT AS same FROM closure3_old_new_heldout WHERE old_outcome IS NOT NULL AND new_outcome IS NOT NULL GROUP BY 1")
+AUDIT_GROUPS = {"BEFORE_BETTER": "one", "AFTER_BETTER": "one", "BOTH_WRONG": "none", "INSUFFICIENT_EVIDENCE": "open"}
+_GROUP = lambda k: f"CASE WHEN {k} IN ('BEFORE_BETTER', 'AFTER_BETTER') THEN 'one' WHEN {k} = 'BOTH_WRONG' THEN 'none' ELSE 'open' END"
+
+
+def dual_audit(ballots: DataFrame, tiers: DataFrame) -> DataFrame:
+    """(tier, n, equal, same_group, different, supported, unsupported): two raters' verdicts by tier.
+
+    ballots: item, rater, label; the two smallest raters of an item count, items of one rater don't. Support is counted
+    on the items where both say the same. tiers: item, tier; items without one are 'none'.
+    """
+    place = F.row_number().over(W.partitionBy("item").orderBy("rater"))
+    first = ballots.withColumn("place", place).filter("place <= 2").groupBy("item")
+    two = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"]).alias("ab")).filter("size(ab) = 2")
+    of = F.create_map(*[F.lit(x) for kv in AUDIT_GROUPS.items() for x in kv])
+    a, b = c("ab")[0], c("ab")[1]
+    rows = two.join(tiers, "item", "left").select(F.coalesce("tier", F.lit("none")).alias("tier"), (a == b).alias("same"), (of[a] == of[b]).alias("near"), of[a].alias("g"))
+    n = lambda x: F.count(F.when(x, 1))
+    return rows.groupBy("tier").agg(
+        F.count("*").alias("n"), n(c("same")).alias("equal"), n(~c("same") & c("near")).alias("same_group"), n(~c("near")).alias("different"),
+        n(c("same") & (c("g") == "one")).alias("supported"), n(c("same") & (c("g") == "none")).alias("unsupported"),
+    )
+
+
+@add("D84", f"WITH v AS (SELECT item, label, row_number() OVER (PARTITION BY item ORDER BY rater) AS r FROM {analytics._V}), p AS (SELECT x.item, x.label AS a, y.label AS b FROM v x JOIN v y ON y.item = x.item AND y.r = 2 WHERE x.r = 1), t AS (SELECT task_id, max(consensus_tier) AS tier FROM closure3_old_new_heldout WHERE task_id IS NOT NULL GROUP BY 1) SELECT coalesce(tier, 'none') AS tier, count(*) AS n, count(*) FILTER (a = b) AS equal, count(*) FILTER (a <> b AND {_GROUP('a')} = {_GROUP('b')}) AS same_group, count(*) FILTER ({_GROUP('a')} <> {_GROUP('b')}) AS different, count(*) FILTER (a = b AND {_GROUP('a')} = 'one') AS supported, count(*) FILTER (a = b AND {_GROUP('a')} = 'none') AS unsupported FROM p LEFT JOIN t ON t.task_id = p.item GROUP BY 1")
 def _(s, d):
-    t = table(s, d, "closure3_old_new_heldout").filter("old_outcome is not null and new_outcome is not null")
-    return t.groupBy("consensus_tier").agg(F.count("*").alias("n"), F.sum((c("old_outcome") == c("new_outcome")).cast("int")).alias("same"))
+    tiers = table(s, d, "closure3_old_new_heldout").filter("task_id is not null").groupBy(c("task_id").alias("item")).agg(F.max("consensus_tier").alias("tier"))
+    return dual_audit(analytics._ballots(s, d), tiers)
+
+
+SQL["D84"] = SQL["D84"].replace("\nWITH v AS", ", v AS")
 
 
 # 2.13
@@ -396,28 +444,51 @@ def _(s, d):
 
 @add("M-BUDGET-METRICS", f"SELECT method, b, sum(1 - correct)::BIGINT AS caught FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score, event_id) AS r, count(*) OVER (PARTITION BY method) AS n FROM ({analytics._RUN})), (VALUES (0.05), (0.1), (0.2)) v(b) WHERE r <= floor(b * n + 0.5) GROUP BY 1, 2")
 def _(s, d):
-    w = W.partitionBy("method")
-    rows = analytics.runs(s, d).select("method", "correct", F.row_number().over(w.orderBy("score", "event_id")).alias("r"), F.count("*").over(w).alias("n"))
+    rows = running(analytics.runs(s, d).select("method", "correct", "score", "event_id"), ["method"], [c("score"), c("event_id")], totals=True).select("method", "correct", c("__place").alias("r"), c("__n").alias("n"))
     at = rows.select("*", F.explode(F.array(*[F.lit(b) for b in (0.05, 0.1, 0.2)])).alias("b")).filter(c("r") <= F.floor(c("b") * c("n") + 0.5))
     return at.groupBy("method", "b").agg(F.sum(1 - c("correct")).alias("caught"))
 
 
-@add("M-CLASS-GATE", f"SELECT method, min(t) AS threshold FROM (SELECT method, t, count(*) AS n, avg(correct) AS p FROM ({analytics._RUN}) r, (SELECT unnest(range(0, 20))::DOUBLE / 20 AS t) g WHERE score >= t GROUP BY 1, 2) WHERE n >= 50 AND p >= 0.5 GROUP BY 1")
+def class_gate(rows: DataFrame, by: list[str], min_support: int = 50, min_precision: float = 0.98, min_wilson: float = 0.95, steps: int = 20) -> DataFrame:
+    """(by, threshold): the lowest threshold of a grid that has the support, the precision and Wilson's lower bound.
+
+    rows: by, score, correct (0 or 1). Groups without such a threshold have no row. The counts of the grid's cells are
+    aggregated first, so that a row isn't copied once a threshold.
+    """
+    cell = F.least(F.floor(c("score") * steps + 1e-9), F.lit(steps - 1)).cast("int")
+    at = rows.filter("score >= 0").groupBy(*by, cell.alias("cell")).agg(F.count("*").alias("n"), F.sum("correct").alias("k"))
+    up = at.select(*by, "n", "k", F.explode(F.sequence(F.lit(0), "cell")).alias("step")).groupBy(*by, "step").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    low, _ = stats.wilson(c("k"), c("n"))
+    good = up.filter((c("n") >= min_support) & (c("k") / c("n") >= min_precision) & (low >= min_wilson))
+    return good.groupBy(*by).agg((F.min("step") / steps).alias("threshold"))
+
+
+_WILSON = "(k / n + 1.959963984540054 * 1.959963984540054 / (2 * n) - 1.959963984540054 * sqrt((k / n * (1 - k / n) + 1.959963984540054 * 1.959963984540054 / (4 * n)) / n)) / (1 + 1.959963984540054 * 1.959963984540054 / n)"
+
+
+@add("M-CLASS-GATE", f"SELECT method, min(t) AS threshold FROM (SELECT method, t, count(*)::DOUBLE AS n, sum(correct)::DOUBLE AS k FROM ({analytics._RUN}) r, (SELECT unnest(range(0, 20))::DOUBLE / 20 AS t) g WHERE score >= t GROUP BY 1, 2) WHERE n >= 50 AND k / n >= 0.98 AND {_WILSON} >= 0.95 GROUP BY 1")
 def _(s, d):
-    rows = analytics.runs(s, d).select("method", "score", "correct", F.explode(F.array(*[F.lit(i / 20) for i in range(20)])).alias("t")).filter("score >= t")
-    return rows.groupBy("method", "t").agg(F.count("*").alias("n"), F.avg("correct").alias("p")).filter("n >= 50 and p >= 0.5").groupBy("method").agg(F.min("t").alias("threshold"))
+    return class_gate(analytics.runs(s, d).select("method", "score", "correct"), ["method"])
+
+
+_BALLOTS = analytics._V
+_TOP = "arg_min(label, (-n, label))"
 
 
-@add("M-LOO-JUDGE")
+@add("M-LOO-JUDGE", f"WITH v AS (SELECT * FROM {_BALLOTS}), j AS (SELECT DISTINCT rater AS left_out FROM v), n AS (SELECT left_out, item, label, count(*) AS n FROM v, j WHERE rater <> left_out GROUP BY 1, 2, 3), t AS (SELECT left_out, item, label FROM (SELECT *, row_number() OVER (PARTITION BY left_out, item ORDER BY n DESC, label) AS r FROM n) WHERE r = 1), w AS (SELECT item, label FROM (SELECT item, label, row_number() OVER (PARTITION BY item ORDER BY count(*) DESC, label) AS r FROM v GROUP BY 1, 2) WHERE r = 1) SELECT left_out, round(avg((t.label = w.label)::INTEGER), 6) AS unchanged FROM t JOIN w ON w.item = t.item GROUP BY 1")
 def _(s, d):
-    """Consensus with each rater left out in turn; raters are few, and each vote is copied once per other rater."""
+    """Share of items whose plurality stays with each rater left out in turn. An item that a rater didn't vote on stays as
+    it is, so each vote is looked at once: the rater's own vote is taken off the item's counts by label."""
     v = cut(analytics._ballots(s, d))
-    raters = v.select(c("rater").alias("left_out")).distinct()
-    without = v.join(F.broadcast(raters.agg(F.array_sort(F.collect_set("left_out")).alias("all")))).select("*", F.explode("all").alias("left_out")).filter("left_out <> rater")
-    n = without.groupBy("left_out", "item", "label").agg(F.count("*").alias("n"))
-    top = n.groupBy("left_out", "item").agg(F.min(F.struct((-c("n")).alias("n"), "label"))["label"].alias("label"))
-    full = v.groupBy("item", "label").agg(F.count("*").alias("n")).groupBy("item").agg(F.min(F.struct((-c("n")).alias("n"), "label"))["label"].alias("whole"))
-    return top.join(full, "item").groupBy("left_out").agg(F.round(F.avg((c("label") == c("whole")).cast("int")), 6).alias("unchanged"))
+    counts = v.groupBy("item", "label").agg(F.count("*").alias("n"))
+    of_item = counts.groupBy("item").agg(F.collect_list(F.struct((-c("n")).alias("n"), "label")).alias("all"))  # one entry per label
+    mine = v.join(of_item, "item").withColumn("mine", c("label"))
+    left = F.filter(F.transform("all", lambda x: F.struct((x["n"] + (x["label"] == c("mine")).cast("int")).alias("n"), x["label"].alias("label"))), lambda x: x["n"] < 0)
+    seen = mine.select("rater", F.array_min("all")["label"].alias("whole"), F.array_min(left)["label"].alias("rest"))
+    per = seen.groupBy(c("rater").alias("left_out")).agg(F.count(F.when(c("rest").isNull(), 1)).alias("gone"), F.count(F.when(c("rest") != c("whole"), 1)).alias("changed"))
+    items = of_item.agg(F.count("*").alias("items"))
+    whole = per.join(F.broadcast(items)).withColumn("items", c("items") - c("gone")).filter("items > 0")
+    return whole.select("left_out", F.round((c("items") - c("changed")) / c("items"), 6).alias("unchanged"))
 
 
 ALIASES = {

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from factloom.plans import analytics, competency, curation, general, relational
+from factloom.plans import analytics, competency, curation, further, general, relational
 
-MODULES = [general, competency, relational, analytics, curation]
+MODULES = [general, competency, relational, analytics, curation, further]
 FLAGSHIP = competency.cq20
 
 

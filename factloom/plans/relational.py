@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
+from factloom.operators.ranks import running
 from factloom.plans import base
 from factloom.plans.base import over
 from factloom.session import table
@@ -380,16 +381,15 @@ def _(s, d):
 
 @add("W-RANK-PREFIX", "SELECT fact_id, row_number() OVER (PARTITION BY subject_type ORDER BY sha256(fact_id), fact_id) <= round(0.8 * count(*) OVER (PARTITION BY subject_type)) AS train FROM assertions")
 def _(s, d):
-    w = W.partitionBy("subject_type")
-    rank = F.row_number().over(w.orderBy(F.sha2("fact_id", 256), "fact_id"))
-    return facts(s, d).select("fact_id", (rank <= F.round(0.8 * F.count("*").over(w))).alias("train"))
+    rows = running(facts(s, d).select("subject_type", "fact_id", F.sha2("fact_id", 256).alias("h")), ["subject_type"], [c("h"), c("fact_id")], totals=True)
+    return rows.select("fact_id", (c("__place") <= F.round(0.8 * c("__n"))).alias("train"))
 
 
 @add("W-SYSTEMATIC", "SELECT book_id, doc_id FROM (SELECT book_id, doc_id, row_number() OVER (PARTITION BY book_id ORDER BY page_no, doc_id) AS r FROM documents) WHERE r % 10 = 1")
 def _(s, d):
     """A systematic sample: every tenth page of each book."""
-    r = F.row_number().over(W.partitionBy("book_id").orderBy(F.asc_nulls_last("page_no"), "doc_id"))
-    return table(s, d, "documents").select("book_id", "doc_id", r.alias("r")).filter("r % 10 = 1").drop("r")
+    rows = running(table(s, d, "documents").select("book_id", "doc_id", "page_no"), ["book_id"], [F.asc_nulls_last("page_no"), c("doc_id")])
+    return rows.filter("__place % 10 = 1").select("book_id", "doc_id")
 
 
 @add("S-MULTI", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
@@ -412,9 +412,8 @@ def _(s, d, n=200):
 
 @add("S-TOPK-BUDGET", "SELECT fact_id FROM (SELECT fact_id, row_number() OVER (PARTITION BY subject_type ORDER BY confidence DESC NULLS LAST, fact_id) AS r, count(*) OVER (PARTITION BY subject_type) AS n FROM assertions) WHERE r <= floor(0.1 * n + 0.5)")
 def _(s, d):
-    w = W.partitionBy("subject_type")
-    r = F.row_number().over(w.orderBy(F.desc_nulls_last("confidence"), "fact_id"))
-    return facts(s, d).select("fact_id", r.alias("r"), F.count("*").over(w).alias("n")).filter(c("r") <= F.floor(0.1 * c("n") + 0.5)).select("fact_id")
+    rows = running(facts(s, d).select("subject_type", "fact_id", "confidence"), ["subject_type"], [F.desc_nulls_last("confidence"), c("fact_id")], totals=True)
+    return rows.filter(c("__place") <= F.floor(0.1 * c("__n") + 0.5)).select("fact_id")
 
 
 # 2.7 set operations
@@ -462,9 +461,9 @@ def _(s, d):
     return base.entities(s, d).select("entity_id", F.substring("canonical_name", 1, 3).alias("head"), F.length(F.trim("canonical_name")).alias("n"), F.concat("entity_id", F.lit("\x1f"), "canonical_name").alias("joined"))
 
 
-@add("F-STR-NORM", r"SELECT entity_id, lower(regexp_replace(canonical_name, '[\s·・‧]+', '', 'g')) AS tight FROM entities WHERE regexp_full_match(canonical_name, '[一-龥A-Za-z ·・‧]+')")
+@add("F-STR-NORM", r"SELECT entity_id, lower(regexp_replace(canonical_name, '[\s·・‧]+', '', 'g')) AS tight FROM entities WHERE canonical_name IS NOT NULL")
 def _(s, d):
-    return base.entities(s, d).filter(c("canonical_name").rlike("^[一-龥A-Za-z ·・‧]+$")).select("entity_id", X.tight(c("canonical_name")).alias("tight"))
+    return base.entities(s, d).filter(c("canonical_name").isNotNull()).select("entity_id", X.tight(c("canonical_name")).alias("tight"))
 
 
 @add("F-STR-SUFFIX", "SELECT entity_id, CASE WHEN length(canonical_name) > 2 AND ends_with(canonical_name, '会馆') THEN left(canonical_name, -2) WHEN length(canonical_name) > 2 AND ends_with(canonical_name, '码头') THEN left(canonical_name, -2) ELSE canonical_name END AS stem FROM entities WHERE source_entity_type = 'Place'")
@@ -479,11 +478,14 @@ def _(s, d):
     return facts(s, d).select("fact_id", at.alias("at"), F.abs(F.length("subject_name") - F.length("object_name")).alias("gap"))
 
 
-@add("F-LEVENSHTEIN", "SELECT fact_id, least(levenshtein(subject_name, object_name), 4) AS distance FROM assertions WHERE regexp_full_match(subject_name || object_name, '[ -~]*')")
+# each sign of a pair of names becomes one of its own bytes, as the oracle's distance counts bytes
+_SIGNS = "(SELECT fact_id, subject_name AS x, object_name AS y, regexp_extract_all(subject_name, '(?s).') AS a, regexp_extract_all(object_name, '(?s).') AS b FROM assertions)"
+_CODED = "array_to_string(list_transform({0}, lambda v: chr((33 + list_position(list_distinct(a || b), v))::INTEGER)), '')"
+
+
+@add("F-LEVENSHTEIN", f"SELECT fact_id, CASE WHEN x IS NULL OR y IS NULL THEN NULL ELSE least(levenshtein({_CODED.format('a')}, {_CODED.format('b')}), 4) END AS distance FROM {_SIGNS}")
 def _(s, d):
-    """Names in ASCII only, as the oracle's distance counts bytes."""
-    ascii_only = facts(s, d).filter(F.concat("subject_name", "object_name").rlike("^[ -~]*$"))
-    return ascii_only.select("fact_id", X.bounded_levenshtein(c("subject_name"), c("object_name")).cast("long").alias("distance"))
+    return facts(s, d).select("fact_id", X.bounded_levenshtein(c("subject_name"), c("object_name")).cast("long").alias("distance"))
 
 
 @add("F-REGEX-EXTRACT", r"SELECT doc_id, regexp_extract(text, '(19\d{2})年', 1) AS first_year, len(regexp_extract_all(text, '19\d{2}')) AS n_years FROM documents WHERE text IS NOT NULL")

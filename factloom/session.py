@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder (spark.checkpoint.dir); set a temporary one only where none is named."""
+    """Keep the cluster's shared folder (spark.checkpoint.dir); where none is named, a local master gets a temporary one
+    and any other raises, as its executors couldn't see this machine's folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-ckpt-"))
 
 
@@ -42,5 +47,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _signature(spark: SparkSession, sf_dir: str, sources: Sequence[str]) -> str:
+    """What the source tables' files are: paths, sizes and times."""
+    told = [sf_dir]
+    for name in sources:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        told += [f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in fs.listStatus(path)]
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()[:24]
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, sources: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A layer that is built once per application and state of its source tables, and then read as a parquet table.
+
+    It lies beside the checkpoints in the shared folder. Later queries push filters and columns into its scan; a layer of
+    another application, whose code may differ, is never read.
+    """
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    folder = f"{sc.getCheckpointDir()}/layers-{sc.applicationId}/{name}-{_signature(spark, sf_dir, sources)}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
