@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +48,17 @@ def knee(points: Sequence[tuple[float, float]]) -> tuple[float, float] | None:
     return max(front, key=lambda p: (above(p), -p[0]))
 
 
+def pareto_knee(points: DataFrame, cost: str, gain: str) -> DataFrame:
+    """The same for any number of points: the front by the greatest gain at lower cost, its two ends as one row, then the
+    point farthest above their chord; of equal ones the cheapest. Null points don't count; no points give no row."""
+    at = running(points.select(cost, gain).dropna().distinct(), [], [F.col(cost), F.col(gain).desc()], peaks={"__peak": F.col(gain)})
+    front = at.filter(F.col("__peak").isNull() | (F.col(gain) > F.col("__peak"))).select(cost, gain)
+    ends = front.agg(F.min(cost).alias("x0"), F.max(cost).alias("x1"), F.min_by(gain, cost).alias("y0"), F.max_by(gain, cost).alias("y1"))
+    way = F.when(F.col("x1") > F.col("x0"), (F.col(cost) - F.col("x0")) / F.when(F.col("x1") > F.col("x0"), F.col("x1") - F.col("x0"))).otherwise(0.0)
+    above = F.round(F.col(gain) - F.col("y0") - (F.col("y1") - F.col("y0")) * way, 12)
+    return front.join(F.broadcast(ends)).orderBy(above.desc(), cost).limit(1).select(cost, gain)
+
+
 def poststratified(sample: DataFrame, sizes: DataFrame, stratum: str, value: str) -> DataFrame:
     """M-POSTSTRAT: the mean of value over the population, strata weighted by sizes(stratum, size). Strata without a
     sampled row are left out of weight and sum, and counted."""
@@ -94,3 +106,31 @@ def frequent_rules(rows: DataFrame, atoms: Sequence[str], target: str, support:
         every = F.concat(every, combos)
     g = pattern.select(F.explode(F.transform(every, lambda c: F.concat_ws("&", c))).alias("rule"), "n", "k").groupBy("rule").agg(F.sum("n").alias("support"), F.sum("k").alias("hits"))
     return g.filter(F.col("support") >= support).withColumn("share", F.col("hits") / F.col("support"))
+
+
+def bootstrap(counts: DataFrame, statistic: Callable[[np.ndarray, np.ndarray], np.ndarray], value: str, stratum: str | None = None, replicates: int = 2000, seed: int = 7) -> tuple[float, float] | None:
+    """M-BOOTSTRAP: the 2.5 and 97.5 percentiles of a statistic over resampled rows, or None without rows.
+
+    counts: value (a few different ones), n and, if stratified, the stratum: rows alike fall into one count, and drawing n
+    of n rows anew is one multinomial draw over the counts, so neither rows nor replicates of them are ever formed. The
+    counts come to the driver, one row per stratum and value. statistic: (replicates x values of draws, values) to one
+    number per replicate; strata are drawn apart, each with its own size, and their draws added.
+    """
+    rows = counts.filter(F.col(value).isNotNull()).select(F.col(stratum) if stratum else F.lit(0).alias("stratum"), value, "n").collect()
+    if not rows:
+        return None
+    values = sorted({r[1] for r in rows})
+    rng, drawn = np.random.default_rng(seed), np.zeros((replicates, len(values)))
+    for s in sorted({r[0] for r in rows}, key=str):
+        n = np.zeros(len(values), np.int64)
+        for r in rows:
+            if r[0] == s:
+                n[values.index(r[1])] += r[2]
+        if n.sum():
+            drawn += rng.multinomial(int(n.sum()), n / n.sum(), size=replicates)
+    got = statistic(drawn, np.array(values, dtype=float))
+    return float(np.percentile(got, 2.5)), float(np.percentile(got, 97.5))
+
+
+def mean_of(drawn: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return drawn @ values / drawn.sum(axis=1)

@@ -129,11 +129,35 @@ def _(s, d):
     return mapped.unionByName(e.filter(~place).select("entity_id", c("entity_id").alias("canonical_id")))
 
 
-@add("D22", f"SELECT a.fact_id, coalesce(bool_and(CASE e WHEN 'subject' THEN subject_type ELSE object_type END = t), true) AS compatible FROM assertions a LEFT JOIN (VALUES {_CON}) k(p, e, t) ON p = predicate GROUP BY 1")
+# Each subtype and the type above it; a social group also stands for an organisation.
+TYPE_PARENT = {
+    "AdministrativeRegion": "Place", "BasinSection": "Place", "CulturalSite": "Place", "Organization": "SocialGroup", "Institution": "Organization",
+    "Spirit": "Concept", "ValueFacet": "Concept", "Position": "Concept", "EvolutionStage": "TimePeriod",
+}
+
+
+def allowed(wanted: str) -> list[str]:
+    """All types that pass for a wanted one: itself and whatever leads up to it."""
+    targets = {wanted, "SocialGroup"} if wanted == "Organization" else {wanted}
+
+    def up(t: str) -> list[str]:
+        way = [t]
+        while way[-1] in TYPE_PARENT:
+            way.append(TYPE_PARENT[way[-1]])
+        return way
+
+    return sorted({wanted, *targets, *(t for t in TYPE_PARENT if targets & set(up(t)))})
+
+
+_ALLOWED = ", ".join(f"('{p}', '{e}', '{t}')" for p, e, w in CONTRACT for t in allowed(w))
+_CONTROLLED = ", ".join(f"'{p}'" for p, _, _ in CONTRACT)
+
+
+@add("D22", f"SELECT fact_id, coalesce(predicate IN ({_CONTROLLED}) AND (predicate, CASE WHEN (predicate, 'subject') IN (SELECT (p, e) FROM (VALUES {_ALLOWED}) k(p, e, t)) THEN 'subject' ELSE 'object' END, CASE WHEN (predicate, 'subject') IN (SELECT (p, e) FROM (VALUES {_ALLOWED}) k(p, e, t)) THEN subject_type ELSE object_type END) IN (SELECT (p, e, t) FROM (VALUES {_ALLOWED}) k(p, e, t)), false) AS compatible FROM assertions")
 def _(s, d):
-    """Domain and range pass, from the contract as one small map per row."""
-    ok = [F.when(c("predicate") == p, c(f"{e}_type") == t) for p, e, t in CONTRACT]
-    return facts(s, d).select("fact_id", F.coalesce(*ok, F.lit(True)).alias("compatible"))
+    """Domain and range pass of the contract's relations, by type or any type above it; other relations don't pass."""
+    ok = [F.when(c("predicate") == p, F.coalesce(c(f"{e}_type").isin(*allowed(t)), F.lit(False))) for p, e, t in CONTRACT]
+    return facts(s, d).select("fact_id", F.coalesce(*ok, F.lit(False)).alias("compatible"))
 
 
 @add("D24", "SELECT fact_id, CASE WHEN semantic_status = 'auto_accepted' AND predicate NOT LIKE 'raw:%' THEN 'strict_semantic' WHEN semantic_status IN ('auto_accepted', 'model_review') THEN 'contextual' ELSE 'unresolved' END AS tier FROM assertions")
@@ -398,7 +422,18 @@ def _(s, d):
     return graph.neighbours(_edges(s, d), _hub(s, d)).select("fact_id", "direction", "neighbour")
 
 
-QUERIES["H-NEIGHBORS"], SQL["H-NEIGHBORS"] = QUERIES["G-ENTITY"], SQL["G-ENTITY"]
+@add("H-NEIGHBORS", f"SELECT neighbour, predicate, direction, count(*) AS facts FROM (SELECT predicate, 'out' AS direction, dst AS neighbour FROM {_E} WHERE src = {_HUB} UNION ALL SELECT predicate, 'in', src FROM {_E} WHERE dst = {_HUB}) WHERE predicate NOT LIKE 'raw:%' GROUP BY ALL ORDER BY facts DESC, neighbour, predicate, direction LIMIT 50")
+def _(s, d, page=50):
+    """The first page of a node's neighbours, by relation and direction, raw relations filtered out."""
+    rows = graph.neighbours(_edges(s, d).filter(~c("predicate").like("raw:%")), _hub(s, d))
+    return rows.groupBy("neighbour", "predicate", "direction").agg(F.count("*").alias("facts")).orderBy(F.desc("facts"), "neighbour", "predicate", "direction").limit(page)
+
+
+@add("G-INDUCED", f"SELECT fact_id, src, dst, predicate FROM {_E} WHERE src IN (SELECT entity_id FROM entities WHERE risk_tier = 'A') AND dst IN (SELECT entity_id FROM entities WHERE risk_tier = 'A')")
+def _(s, d):
+    """The edges with both ends in a chosen set of nodes of any size; edges with a missing end go."""
+    chosen = base.entities(s, d).filter("risk_tier = 'A'").select(c("entity_id").alias("id"))
+    return graph.induced(_edges(s, d), chosen).select("fact_id", "src", "dst", "predicate")
 
 
 @add("G-EXPLORE", "SELECT s.culture_subject_id, s.state_id, l.event_id, count(DISTINCT u.fact_id) AS n FROM states s JOIN state_support u ON u.state_id = s.state_id JOIN links l ON l.fact_id = u.fact_id WHERE stage_code = 'stg_siege' GROUP BY 1, 2, 3")
@@ -460,6 +495,7 @@ def runs(s, d) -> DataFrame:
 
 
 _CURVE = f"SELECT method, score, cn / total AS coverage, ce / cn AS risk, ce / total AS general_risk FROM (SELECT method, score, sum(n) OVER (PARTITION BY method ORDER BY score DESC)::DOUBLE AS cn, sum(e) OVER (PARTITION BY method ORDER BY score DESC)::DOUBLE AS ce, sum(n) OVER (PARTITION BY method)::DOUBLE AS total FROM (SELECT method, score, count(*) AS n, sum(1 - correct) AS e FROM ({_RUN}) GROUP BY 1, 2)) UNION ALL SELECT DISTINCT method, NULL, 0, 0, 0 FROM ({_RUN})"
+_CURVE_ALL = f"SELECT score, cn / total AS coverage, ce / cn AS risk, ce / total AS general_risk FROM (SELECT score, sum(n) OVER (ORDER BY score DESC)::DOUBLE AS cn, sum(e) OVER (ORDER BY score DESC)::DOUBLE AS ce, sum(n) OVER ()::DOUBLE AS total FROM (SELECT score, count(*) AS n, sum(1 - correct) AS e FROM ({_RUN}) GROUP BY 1)) UNION ALL SELECT DISTINCT NULL, 0, 0, 0 FROM ({_RUN})"
 _r = lambda df, *cols: df.withColumns({k: F.round(k, 9) for k in cols})
 
 

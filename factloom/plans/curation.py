@@ -390,10 +390,19 @@ def _(s, d):
     return g.withColumn("chi2", F.round(k * k / (c("only_old") + c("only_new")), 6))
 
 
-QUERIES["M-MCNEMAR-JOINT"], SQL["M-MCNEMAR-JOINT"] = QUERIES["M-MCNEMAR"], SQL["M-MCNEMAR"]
+@add("M-MCNEMAR-JOINT", f"SELECT x AS only_old, y AS only_new, CASE WHEN x + y = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2))) FROM (SELECT unnest(range(0, least(x, y) + 1)) AS i))), 6) END AS p_value FROM (SELECT count(*) FILTER (a = 1 AND b = 0) AS x, count(*) FILTER (a = 0 AND b = 1) AS y FROM {_T} WHERE a IS NOT NULL AND b IS NOT NULL)")
+def _(s, d):
+    """The exact test over tasks that both sides decided; 1 without a task on which they differ. One row comes to the driver."""
+    p = _paired(s, d).filter("a is not null and b is not null")
+    x, y = p.agg(F.count(F.when((c("a") == 1) & (c("b") == 0), 1)), F.count(F.when((c("a") == 0) & (c("b") == 1), 1))).first()
+    return s.createDataFrame([(x, y, round(stats.binomial_two_sided(x, y), 6))], "only_old long, only_new long, p_value double")
+
 
+_BOUND = "({p} + 1.959963984540054 * 1.959963984540054 / (2 * {n}) {sign} 1.959963984540054 * sqrt({p} * (1 - {p}) / {n} + 1.959963984540054 * 1.959963984540054 / (4 * {n} * {n}))) / (1 + 1.959963984540054 * 1.959963984540054 / {n})"
+_ENDS = ", ".join(f"{_BOUND.format(p=f'p{k}', n=f'n{k}', sign=sign)} AS {name}{k}" for k in (1, 2) for sign, name in (("-", "l"), ("+", "u")))
 
-@add("M-NEWCOMBE")
+
+@add("M-NEWCOMBE", f"SELECT round(p1 - p2, 6) AS difference, round(p1 - p2 - sqrt((p1 - l1) * (p1 - l1) + (u2 - p2) * (u2 - p2)), 6) AS low, round(p1 - p2 + sqrt((u1 - p1) * (u1 - p1) + (p2 - l2) * (p2 - l2)), 6) AS high FROM (SELECT *, {_ENDS} FROM (SELECT sum(a)::DOUBLE / count(a) AS p1, count(a)::DOUBLE AS n1, sum(b)::DOUBLE / count(b) AS p2, count(b)::DOUBLE AS n2 FROM {_T}))")
 def _(s, d):
     p = _paired(s, d).agg(F.sum("a").alias("ka"), F.count("a").alias("na"), F.sum("b").alias("kb"), F.count("b").alias("nb"))
     low, high = stats.newcombe(c("ka"), c("na"), c("kb"), c("nb"))
@@ -401,14 +410,36 @@ def _(s, d):
 
 
 @add("M-BOOTSTRAP")
-def _(s, d, replicates=200):
-    """Percentile interval of a mean: replicates weigh rows by Poisson(1) draws from a hash, so one pass gives them all."""
-    u = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: (F.pmod(F.xxhash64("event_id", r), F.lit(1 << 30)) + 0.5) / (1 << 30))
-    cdf = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582]
-    draw = lambda x: sum((F.when(x > t, 1).otherwise(0) for t in cdf), F.lit(0))
-    rows = analytics.runs(s, d).select("method", "correct", F.posexplode(F.transform(u, draw)).alias("r", "w")).filter("w > 0")
-    means = rows.groupBy("method", "r").agg((F.sum(c("w") * c("correct")) / F.sum("w")).alias("m"))
-    return means.groupBy("method").agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
+def _(s, d):
+    """Percentile interval of each method's mean; the methods are few."""
+    counts = cut(analytics.runs(s, d).groupBy("method", "correct").agg(F.count("*").alias("n")))
+    out = []
+    for m in sorted(r[0] for r in counts.select("method").distinct().collect()):
+        low, high = evaluation.bootstrap(counts.filter(c("method") == m), evaluation.mean_of, "correct")
+        out.append((m, round(low, 6), round(high, 6)))
+    return s.createDataFrame(out, "method string, low double, high double")
+
+
+def _difference(s, d) -> DataFrame:
+    """Tasks that both sides decided, by type and by the new side's gain: -1, 0 or 1."""
+    t = table(s, d, "closure3_old_new_heldout").filter("task_id is not null").groupBy("task_id").agg(F.max("correct_old").cast("int").alias("a"), F.max("correct_new").cast("int").alias("b"), F.max("type").alias("type"))
+    return t.dropna(subset=["a", "b"]).groupBy("type", (c("b") - c("a")).alias("gain")).agg(F.count("*").alias("n"))
+
+
+def _interval(s, bounds) -> DataFrame:
+    return s.createDataFrame([tuple(round(x, 6) for x in bounds)] if bounds else [], "low double, high double")
+
+
+@add("M-BOOTSTRAP-PAIRED")
+def _(s, d):
+    """Interval of the mean gain of new over old, tasks drawn as pairs."""
+    return _interval(s, evaluation.bootstrap(_difference(s, d).groupBy("gain").agg(F.sum("n").alias("n")), evaluation.mean_of, "gain"))
+
+
+@add("M-BOOTSTRAP-STRATIFIED")
+def _(s, d):
+    """The same with the types of tasks as strata of fixed sizes; types are few."""
+    return _interval(s, evaluation.bootstrap(_difference(s, d), evaluation.mean_of, "gain", "type"))
 
 
 @add("M-COHEN", f"WITH p AS (SELECT a, b, count(*)::DOUBLE AS n FROM {_T} WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2), t AS (SELECT sum(n) AS t, sum(CASE WHEN a = b THEN n ELSE 0 END) AS same FROM p), e AS (SELECT sum(x.n * y.n) AS c FROM (SELECT a AS l, sum(n) AS n FROM p GROUP BY 1) x JOIN (SELECT b AS l, sum(n) AS n FROM p GROUP BY 1) y ON x.l = y.l) SELECT round((same / t - c / (t * t)) / (1 - c / (t * t)), 9) AS kappa FROM t, e")
@@ -492,9 +523,9 @@ def _(s, d):
 
 
 ALIASES = {
-    "J-CATALOG-UDF": (analytics, "D29"), "A-MULTI-CTE": (analytics, "D31"), "W-FIRST-OBSERVED": (competency, "D41"), "W-CUMULATIVE": (analytics, "M-RC-CURVE-ROWS"), "W-TRAPEZOID": (analytics, "M-AURC"), "M-AUGRC": (analytics, "M-AURC"),
-    "W-LATEST-PY": (relational, "W-LATEST"), "F-ALLEN": (analytics, "D54"), "F-FRAME-REL": (analytics, "D53"), "F-HASH-ID-VARIANTS": (relational, "F-HASH-ID"), "F-RANDOM": (relational, "W-STRATIFIED-TOPN"), "SRC-CHUNK-IN": (relational, "J-SEMI-IN"),
-    "SRC-ATTACH": (relational, "VIEW-TIER"), "D34": (competency, "CQ14"), "G-INDUCED": (analytics, "G-OVERVIEW"), "G-VERIFY": (analytics, "D76"),
+    "J-CATALOG-UDF": (analytics, "D29"), "A-MULTI-CTE": (analytics, "D31"), "W-FIRST-OBSERVED": (competency, "D41"), "W-CUMULATIVE": (analytics, "M-RC-CURVE-ROWS"), "W-CUMULATIVE-TIES": (analytics, "M-RC-CURVE"), "W-TRAPEZOID": (analytics, "M-AURC"), "M-AUGRC": (analytics, "M-AURC"),
+    "W-LATEST-PY": (relational, "W-LATEST"), "F-ALLEN": (analytics, "D54"), "F-FRAME-REL": (analytics, "D53"), "SRC-CHUNK-IN": (relational, "J-SEMI-IN"),
+    "SRC-ATTACH": (relational, "VIEW-TIER"), "D34": (competency, "CQ14"), "G-VERIFY": (analytics, "D76"),
 }
 for _key, (_module, _of) in ALIASES.items():  # Ids that the survey gives to one construct in two places
     _m = _module or __import__(__name__, fromlist=["QUERIES"])
@@ -610,11 +641,13 @@ def _(s, d):
     return s.createDataFrame(evaluation.single_pass_isotonic([(float(b["score"]), float(b["correct"])) for b in bins]), "score double, accuracy double")
 
 
-@add("M-PARETO-KNEE")
+_FRONT = f"SELECT DISTINCT p.general_risk, p.coverage FROM ({analytics._CURVE_ALL}) p WHERE NOT EXISTS (SELECT 1 FROM ({analytics._CURVE_ALL}) q WHERE (q.general_risk < p.general_risk AND q.coverage >= p.coverage) OR (q.general_risk = p.general_risk AND q.coverage > p.coverage))"
+
+
+@add("M-PARETO-KNEE", f"SELECT round(general_risk, 9) AS general_risk, round(coverage, 9) AS coverage FROM (SELECT *, round((coverage - y0) - (y1 - y0) * (CASE WHEN x1 > x0 THEN (general_risk - x0) / (x1 - x0) ELSE 0 END), 12) AS above FROM ({_FRONT}), (SELECT min(general_risk) AS x0, max(general_risk) AS x1, arg_min(coverage, general_risk) AS y0, arg_max(coverage, general_risk) AS y1 FROM ({_FRONT}))) ORDER BY above DESC, general_risk LIMIT 1")
 def _(s, d):
-    points = stats.risk_coverage(analytics.runs(s, d)).select("general_risk", "coverage").collect()  # one per distinct score, of which there are 101
-    best = evaluation.knee([(p["general_risk"], p["coverage"]) for p in points])
-    return s.createDataFrame([best] if best else [], "general_risk double, coverage double")
+    points = stats.risk_coverage(analytics.runs(s, d)).select("general_risk", "coverage")
+    return evaluation.pareto_knee(points, "general_risk", "coverage").select(F.round("general_risk", 9).alias("general_risk"), F.round("coverage", 9).alias("coverage"))
 
 
 @add("M-POSTSTRAT", f"SELECT round(sum(m * size) / sum(size), 9) AS estimate, sum(size)::BIGINT AS covered, 0::BIGINT AS empty_strata FROM (SELECT method, count(*) AS size, avg(correct) FILTER (gate) AS m FROM ({analytics._RUN}) GROUP BY 1)")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.functions import text as X
 from factloom.operators.graph import components
 from factloom.operators.ranks import running
 from factloom.plans import analytics, base
@@ -197,6 +198,42 @@ def _(s, d, target=0.5):
     return curve.filter((c("coverage") == 0) | (c("risk") <= target)).groupBy("method").agg(F.round(F.max("coverage"), 9).alias("coverage"))
 
 
+GRID = "(SELECT unnest(range(1, 21))::DOUBLE / 20 AS t)"
+
+
+@add("M-RC-CONSTRAINED", f"SELECT method, t, round(count(*) FILTER (score >= t AND gate) / count(*)::DOUBLE, 9) AS coverage, round(count(*) FILTER (score >= t AND gate AND correct = 0) / nullif(count(*) FILTER (score >= t AND gate), 0)::DOUBLE, 9) AS risk FROM ({analytics._RUN}), {GRID} GROUP BY 1, 2")
+def _(s, d, steps=20):
+    """The curve over a fixed grid where only rows inside the gate can be accepted; null risk where none is."""
+    cell = F.least(F.floor(c("score") * steps + 1e-9), F.lit(steps)).cast("int")
+    at = analytics.runs(s, d).groupBy("method", cell.alias("cell")).agg(F.count("*").alias("n"), F.sum(c("gate").cast("int")).alias("g"), F.sum((c("gate") & (c("correct") == 0)).cast("int")).alias("e"))
+    inside = lambda k: F.sum(F.when(c("cell") >= c("step"), c(k)).otherwise(0))
+    up = at.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")).groupBy("method", "step").agg(F.sum("n").alias("n"), inside("g").alias("g"), inside("e").alias("e"))
+    return up.select("method", (c("step") / steps).alias("t"), F.round(c("g") / c("n"), 9).alias("coverage"), F.round(F.when(c("g") > 0, c("e") / F.when(c("g") > 0, c("g"))), 9).alias("risk"))
+
+
+@add("M-MATCHED-COV", f"SELECT method, t AS coverage, round(arg_max(risk, coverage), 9) AS risk FROM ({analytics._CURVE}), {GRID} WHERE coverage <= t + 1e-12 GROUP BY 1, 2")
+def _(s, d, steps=20):
+    """Each method's risk at the same coverages: that of its curve's last point not beyond. A point is copied to the grid's
+    places up to the next point only, of which there are steps at most."""
+    curve = analytics.stats.risk_coverage(analytics.runs(s, d), ["method"])
+    first = F.greatest(F.ceil((c("coverage") - 1e-12) * steps), F.lit(1)).cast("int")
+    best = curve.groupBy("method", first.alias("first")).agg(F.max_by("risk", "coverage").alias("risk"), F.max("coverage").alias("at"))
+    grid = best.select("method", "risk", "at", F.explode(F.sequence("first", F.lit(steps))).alias("step"))
+    return grid.groupBy("method", "step").agg(F.round(F.max_by("risk", "at"), 9).alias("risk")).select("method", (c("step") / steps).alias("coverage"), "risk")
+
+
+# 2.8
+@add("F-HASH-ID-VARIANTS", r"SELECT fact_id, 'N-' || substr(sha256(coalesce(province, '') || chr(31) || coalesce(predicate, '')), 1, 24) AS id_nulls, 'S-' || substr(sha256(trim(regexp_replace(coalesce(subject_name, ''), '[ \t\n\r]+', ' ', 'g')) || chr(31) || trim(regexp_replace(coalesce(object_name, ''), '[ \t\n\r]+', ' ', 'g'))), 1, 24) AS id_spaces FROM assertions")
+def _(s, d):
+    return base.assertions(s, d).select("fact_id", X.stable_id_nulls("N", c("province"), c("predicate")).alias("id_nulls"), X.stable_id_spaces("S", c("subject_name"), c("object_name")).alias("id_spaces"))
+
+
+@add("F-RANDOM", "SELECT fact_id FROM assertions WHERE ('0x' || substr(sha256('seed-7' || chr(31) || fact_id), 1, 12))::BIGINT / 281474976710656.0 < 0.1")
+def _(s, d, seed="seed-7", share=0.1):
+    """A sample that the seed alone decides, whatever the order and partitioning of the rows."""
+    return base.assertions(s, d).filter(X.hash_uniform(F.lit(seed), "fact_id") < share).select("fact_id")
+
+
 # 2.9 components
 @add("D69", "WITH RECURSIVE e AS (SELECT DISTINCT event_id AS a, 'cell ' || cell_id AS b FROM links l JOIN cell_support u ON u.fact_id = l.fact_id), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(a, w) AS (SELECT a, a FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON x.a = r.w) SELECT a AS vertex, min(w) AS component FROM reach GROUP BY 1")
 def _(s, d):

@@ -13,6 +13,7 @@ from factloom.operators.ranks import running
 from factloom.plans import base
 from factloom.plans.base import over
 from factloom.session import table
+from factloom.sources.writers import digest_of
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -567,8 +568,11 @@ def _(s, d):
     return facts(s, d).select("fact_id", X.bin_of(c("confidence"), [0.5, 0.8], ["low", "mid", "high"]).alias("bin"))
 
 
-@add("SNK-DIGEST", "SELECT sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT sha256(r_regionkey || chr(31) || r_name) AS h FROM region)")
+_DIGEST = ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(8))
+
+
+@add("SNK-DIGEST", f"SELECT sha256(concat_ws('|', count(*)::VARCHAR, {_DIGEST})) AS digest FROM (SELECT sha256(concat_ws(chr(31), fact_id, subject_id, predicate, object_id, merged_into)) AS h FROM assertions)")
 def _(s, d):
-    """One digest of a small result: per-row hashes in order, hashed again."""
-    h = table(s, d, "region").select(F.sha2(F.concat_ws("\x1f", c("r_regionkey").cast("string"), "r_name"), 256).alias("h"))
-    return h.agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("digest"))
+    """One digest of all facts' keys, whatever the order of the rows."""
+    h = F.sha2(F.concat_ws("\x1f", "fact_id", "subject_id", "predicate", "object_id", "merged_into"), 256)
+    return digest_of(facts(s, d).select(h.alias("digest")))

@@ -20,8 +20,9 @@ def attach(spark: SparkSession, sf_dir: str, names: list[str], prefix: str = "")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """SRC-CSV with a header; a byte-order mark before the first name is dropped, quoted fields may span lines."""
-    return spark.read.csv(path, header=True, schema=schema, encoding="UTF-8", multiLine=True, escape='"', enforceSchema=True)
+    """SRC-CSV with a header; a byte-order mark before the first name is dropped, quoted fields may span lines; a header
+    that names other columns, or in another order, is refused."""
+    return spark.read.csv(path, header=True, schema=schema, encoding="UTF-8", multiLine=True, escape='"', enforceSchema=False)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -25,7 +25,11 @@ def fingerprint(paths: list[str]) -> str:
 
 
 def write_staged(df: DataFrame, path: str, inputs: list[str] | None = None) -> None:
-    """SNK-ATOMIC: writes beside the target and renames; raises, leaving the target, if a local input changed meanwhile."""
+    """SNK-ATOMIC: writes beside the target, sets the old one aside, renames and only then deletes the old one.
+
+    Raises, leaving the target, if a local input changed meanwhile; if the new one can't be moved, the old one comes back.
+    A crash between the two renames leaves both complete, as .staging and .before.
+    """
     fs_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
     before = fingerprint(inputs or [])
     df.write.mode("overwrite").parquet(path + ".staging")
@@ -33,10 +37,16 @@ def write_staged(df: DataFrame, path: str, inputs: list[str] | None = None) -> N
         raise RuntimeError("an input changed while the result was written")
     new, old = fs_path(path + ".staging"), fs_path(path)
     fs = new.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.delete(old, True)
+    aside = fs_path(path + ".before")
+    fs.delete(aside, True)
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"{path}: the old result can't be set aside")
     if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
         raise OSError(f"{path}: the staged result can't be moved")
+    fs.delete(aside, True)
 
 
 def row_digests(df: DataFrame) -> DataFrame:
@@ -44,12 +54,17 @@ def row_digests(df: DataFrame) -> DataFrame:
     return df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256).alias("digest"))
 
 
-def table_digest(df: DataFrame, buckets: int = 4096) -> str:
-    """One digest of a table whatever its row order: rows' digests are hashed in order within buckets by their first
-    digits, and the buckets' digests on the driver, 4096 of them at most."""
-    d = row_digests(df).withColumn("b", F.substring("digest", 1, 3))
-    parts = d.groupBy("b").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("digest"))), 256).alias("h")).orderBy("b").collect()
-    return hashlib.sha256("".join(r["h"] for r in parts).encode()).hexdigest()
+def digest_of(digests: DataFrame) -> DataFrame:
+    """(digest) of rows' SHA-256 digests, whatever their order: each 8 hex digits are summed over all rows, and the sums
+    with the number of rows hashed again. Sums combine before the shuffle, so no row list is ever gathered."""
+    part = lambda i: F.sum(F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)"))
+    sums = digests.agg(F.count("*").alias("n"), *(F.coalesce(part(i), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in range(8)))
+    return sums.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), *(F.col(f"s{i}").cast("string") for i in range(8))), 256).alias("digest"))
+
+
+def table_digest(df: DataFrame) -> str:
+    """One digest of a table whatever its row order and partitioning; repeated rows count as often as they stand."""
+    return digest_of(row_digests(df)).first()["digest"]
 
 
 def report(counts: dict[str, int], checks: dict[str, bool], path: str | None = None) -> dict:

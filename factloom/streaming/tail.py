@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +26,38 @@ def upsert_latest(records: DataFrame, key: str, at: str, target: str, checkpoint
 
     def settle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        current = os.path.join(target, "CURRENT")
-        old = open(current).read().strip() if os.path.exists(current) else None
-        rows = batch.unionByName(spark.read.parquet(os.path.join(target, old))) if old and old != f"v{epoch}" else batch
+        old = _version(spark, target)
+        rows = batch.unionByName(spark.read.parquet(f"{target}/{old}")) if old and old != f"v{epoch}" else batch
         both = merge(rows, batch) if merge else rows
         last = both.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rows.columns), at).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(os.path.join(target, f"v{epoch}"))
-        with open(current + ".new", "w") as f:
-            f.write(f"v{epoch}")
-        os.replace(current + ".new", current)
+        last.write.mode("overwrite").parquet(f"{target}/v{epoch}")
+        _name_version(spark, target, f"v{epoch}")
 
-    os.makedirs(target, exist_ok=True)
     return records.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _files(spark: SparkSession, target: str):
+    """The file system of a folder, whichever it is, and a path in it by name."""
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{name}")
+    return path("CURRENT").getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _version(spark: SparkSession, target: str) -> str | None:
+    fs, path = _files(spark, target)
+    return spark.read.text(f"{target}/CURRENT").first()[0].strip() if fs.exists(path("CURRENT")) else None
+
+
+def _name_version(spark: SparkSession, target: str, version: str) -> None:
+    """Writes the pointer beside the old one and puts it in its place by one overwriting rename."""
+    fs, path = _files(spark, target)
+    out = fs.create(path("CURRENT.new"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    fc = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    fc.rename(path("CURRENT.new"), path("CURRENT"), how)
+
+
 def current(spark: SparkSession, target: str) -> DataFrame:
-    with open(os.path.join(target, "CURRENT")) as f:
-        return spark.read.parquet(os.path.join(target, f.read().strip()))
+    return spark.read.parquet(f"{target}/{_version(spark, target)}")
