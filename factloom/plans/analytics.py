@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 from factloom.operators import graph, stats
+from factloom.operators.pairs import pairs_within
 from factloom.operators.ranks import running
 from factloom.plans import base
 from factloom.plans.base import over
-from factloom.session import cut, shuffle_width, table
+from factloom.session import cut, table
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -247,23 +248,16 @@ _DATED = "SELECT fact_id, subject_id, predicate, time_precision, start_date AS s
 def _(s, d):
     """Allen relations of an event's dated, unmerged strict facts of one predicate, smaller id first; D54-FAMILIES has the whole."""
     f = facts(s, d).filter("start_date <= end_date and merged_into is null and research_tier = 'strict_semantic' and subject_type = 'Event'")
-    a = f.select("subject_id", "predicate", c("fact_id").alias("a"), c("start_date").alias("s1"), c("end_date").alias("e1"))
-    b = f.select("subject_id", "predicate", c("fact_id").alias("b"), c("start_date").alias("s2"), c("end_date").alias("e2"))
-    return a.join(b, ["subject_id", "predicate"]).filter("a < b").select("a", "b", X.allen(c("s1"), c("e1"), c("s2"), c("e2")).alias("relation"))
+    rows = f.select("subject_id", "predicate", c("fact_id").alias("id"), c("start_date").alias("s"), c("end_date").alias("e"))
+    met = pairs_within(rows, ["subject_id", "predicate"], c("a_id") < c("b_id"))
+    return met.select(c("a_id").alias("a"), c("b_id").alias("b"), X.allen(c("a_s"), c("a_e"), c("b_s"), c("b_e")).alias("relation"))
 
 
-PAIR_ROWS = 500  # left rows of a key that meet the key's right rows in one task
+PAIR_ROWS = 500
 
 
-def _pairs_within(members: DataFrame, key: str, meets) -> DataFrame:
-    """Ordered pairs of the members (with id) of one key, columns of both ends prefixed a_ and b_. A frequent key's left
-    rows are dealt out over cells that each get all its right rows, so that no task has all pairs of one key."""
-    n = shuffle_width(members.sparkSession)
-    sized = members.filter(c(key).isNotNull()).withColumn("cells", F.ceil(F.count("*").over(W.partitionBy(key)) / PAIR_ROWS))
-    end = lambda df, p: df.select(key, "cell", *(c(x).alias(f"{p}_{x}") for x in members.columns if x != key))
-    left = end(sized.withColumn("cell", F.pmod(F.hash("id"), c("cells"))), "a").repartition(n, key, "cell")
-    right = end(sized.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), c("cells") - 1))), "b").repartition(n, key, "cell")
-    return left.join(right, [key, "cell"]).filter((c("a_id") < c("b_id")) & meets)
+def _ordered(members: DataFrame, key: str, meets) -> DataFrame:
+    return pairs_within(members, [key], (c("a_id") < c("b_id")) & meets, PAIR_ROWS)
 
 
 def temporal_pairs(facts: DataFrame, links: DataFrame, support: DataFrame) -> DataFrame:
@@ -282,10 +276,10 @@ def temporal_pairs(facts: DataFrame, links: DataFrame, support: DataFrame) -> Da
     states = support.groupBy("culture_subject_id", "fact_id").agg(F.min("state_id").alias("low"), F.max("state_id").alias("high"))
     other_state = (c("a_low") != c("b_low")) | (c("a_low") != c("a_high")) | (c("b_low") != c("b_high"))
     ends = ["a_id", "b_id", "a_s", "a_e", "a_p", "b_s", "b_e", "b_p"]
-    by_event = _pairs_within(event, "event_id", apart).select(*ends, F.lit(2).alias("family"))
-    by_state = _pairs_within(dated(states), "culture_subject_id", apart & other_state).select(*ends, F.lit(3).alias("family"))
+    by_event = _ordered(event, "event_id", apart).select(*ends, F.lit(2).alias("family"))
+    by_state = _ordered(dated(states), "culture_subject_id", apart & other_state).select(*ends, F.lit(3).alias("family"))
     rest = by_event.unionByName(by_state).groupBy(*ends).agg(F.min("family").alias("family"))
-    every = _pairs_within(f, "subject_id", F.lit(True)).select(*ends, F.lit(1).alias("family")).unionByName(rest)
+    every = _ordered(f, "subject_id", F.lit(True)).select(*ends, F.lit(1).alias("family")).unionByName(rest)
     name = lambda k, names: F.element_at(F.array(*map(F.lit, names)), k)
     return every.select(
         c("a_id").alias("a"), c("b_id").alias("b"), X.allen(c("a_s"), c("a_e"), c("b_s"), c("b_e")).alias("relation"),
@@ -305,7 +299,7 @@ def _(s, d):
 def _(s, d):
     """J-INTERVAL-PAIR: only events that share a participant are compared; the pairs are distinct before they get dates."""
     who = base.roles(s, d).select("event_id", "counterpart_id").dropna().distinct()
-    pairs = who.withColumnRenamed("event_id", "a").join(who.withColumnRenamed("event_id", "b"), "counterpart_id").filter("a < b").select("a", "b").distinct()
+    pairs = _ordered(who.withColumnRenamed("event_id", "id"), "counterpart_id", F.lit(True)).select(c("a_id").alias("a"), c("b_id").alias("b")).distinct()
     f = base.frames(s, d).filter("observed_start is not null and observed_end is not null")
     end = lambda k: f.select(c("event_id").alias(k), c("observed_start").alias(f"s{k}"), c("observed_end").alias(f"e{k}"))
     rel = F.when(c("ea") < c("sb"), "before").when(c("sa") > c("eb"), "after").when((c("sa") >= c("sb")) & (c("ea") <= c("eb")), "during").otherwise("overlaps")

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from factloom.operators import evaluation, stats
 from factloom.operators.ranks import running
 from factloom.plans import analytics, base, competency, relational
 from factloom.plans.base import over
-from factloom.session import cut, table
+from factloom.session import cut, stored, table
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -42,12 +46,40 @@ def _(s, d):
     return facts(s, d).filter(a.isNotNull() & b.isNotNull()).select("fact_id", same.alias("same"))
 
 
-@add("F-STR-LONGEST", "SELECT doc_id, max(length(name)) AS longest FROM documents JOIN (SELECT DISTINCT province AS name FROM assertions WHERE province IS NOT NULL) ON contains(text, name) GROUP BY 1")
+DICTIONARY = 200_000  # names that go to every executor as one automaton; a larger dictionary is joined instead
+
+
+def longest_names(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, longest): length of the longest dictionary name that stands in a text; texts without one have no row.
+
+    docs: doc_id, text; names: name. A dictionary of DICTIONARY names at most is matched in one pass over each text; beyond
+    that, all pieces of the dictionary's lengths are looked up by equality. Null texts and null or empty names don't count.
+    """
+    names = names.filter("name <> ''").select("name").distinct()
+    some = [r[0] for r in names.take(DICTIONARY + 1)]
+    texts = docs.filter("text is not null").select("doc_id", "text")
+    if len(some) > DICTIONARY or ahocorasick is None:
+        lengths = [r[0] for r in names.select(F.length("name")).distinct().collect()]  # as many as names have lengths
+        pieces = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i, n=n: F.substring(c("text"), i, F.lit(n))) for n in lengths])))
+        found = texts.select("doc_id", F.explode(pieces).alias("name")).join(names, "name")
+        return found.groupBy("doc_id").agg(F.max(F.length("name")).cast("long").alias("longest"))
+
+    def run(batches):
+        machine = ahocorasick.Automaton()
+        for n in some:
+            machine.add_word(n, len(n))
+        machine.make_automaton()
+        for b in batches:
+            yield b[["doc_id"]].assign(longest=[max((n for _, n in machine.iter(t)), default=0) for t in b["text"]])
+
+    if not some:
+        return texts.select("doc_id", F.lit(0).cast("long").alias("longest")).limit(0)
+    return texts.mapInPandas(run, "doc_id long, longest long").filter("longest > 0")
+
+
+@add("F-STR-LONGEST", "SELECT doc_id, max(length(name)) AS longest FROM documents JOIN (SELECT DISTINCT province AS name FROM assertions WHERE province <> '') ON contains(text, name) GROUP BY 1")
 def _(s, d):
-    """The longest dictionary name in a text: all pieces of the dictionary's lengths are looked up by equality."""
-    names = facts(s, d).select(c("province").alias("name")).dropna().distinct()
-    t = table(s, d, "documents").filter("text is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?=([一-龥]{2}省))"), F.lit(1)))).alias("name"))
-    return t.join(names, "name").groupBy("doc_id").agg(F.max(F.length("name")).cast("long").alias("longest"))
+    return longest_names(table(s, d, "documents"), facts(s, d).select(c("province").alias("name")))
 
 
 @add("F-REGEX-CUE", "SELECT doc_id, regexp_matches(text, '(护送|迁至|运输)') AS moves, regexp_matches(text, '(誊录|抄写|翻印)') AS copies FROM documents WHERE text IS NOT NULL")
@@ -239,14 +271,35 @@ def _(s, d):
     return a.select("fact_id").join(found, "fact_id", "left").na.fill("D", ["level"])
 
 
+INDEX_BUCKETS = 64
+
+
+def text_index(s, d) -> DataFrame:
+    """(bucket, gram, doc_id): all pairs of neighbouring signs of all texts, and lone signs of texts of one sign; built once
+    and laid out by bucket of the gram, so that a search reads its grams' buckets only."""
+    t = table(s, d, "documents").filter("text <> ''").select("doc_id", "text")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1))), lambda i: F.substring(c("text"), i, F.lit(2)))
+    build = lambda: t.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).withColumn("bucket", _bucket(c("gram"))).repartition("bucket").sortWithinPartitions("bucket", "gram")
+    return stored(s, d, "text_index", ["documents"], build, "bucket")
+
+
+def _bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def search_texts(s, d, term: str) -> DataFrame:
+    """(doc_id) of the texts that hold a term of two signs or more: postings of all its grams, then containment."""
+    if len(term) < 2:
+        raise ValueError("a term needs two signs")
+    grams = sorted({term[i : i + 2] for i in range(len(term) - 1)})
+    buckets = [r[0] for r in s.createDataFrame([(g,) for g in grams], "gram string").select(_bucket(c("gram"))).distinct().collect()]
+    hits = text_index(s, d).filter(c("bucket").isin(buckets) & c("gram").isin(grams)).groupBy("doc_id").agg(F.count("*").alias("n")).filter(c("n") == len(grams))
+    return table(s, d, "documents").select("doc_id", "text").join(hits.select("doc_id"), "doc_id", "left_semi").filter(c("text").contains(term)).select("doc_id")
+
+
 @add("D60", "SELECT doc_id FROM documents WHERE contains(text, '油印小报')")
-def _(s, d, query="油印小报"):
-    """Text index: two-character postings, intersected by grouping, then verified by containment."""
-    t = table(s, d, "documents").filter("text is not null").select("doc_id", "text")
-    grams = sorted({query[i : i + 2] for i in range(len(query) - 1)})
-    hits = t.select("doc_id", F.explode(F.array_intersect(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({'|'.join(grams)})"), F.lit(1))), F.array(*map(F.lit, grams)))).alias("g"))
-    some = hits.select("doc_id").distinct()  # overlapping pairs may hide each other, so that one posting is enough to look
-    return t.join(some, "doc_id", "left_semi").filter(c("text").contains(query)).select("doc_id")
+def _(s, d, term="油印小报"):
+    return search_texts(s, d, term)
 
 
 @add("D62", "SELECT fact_id, CASE WHEN n >= 3 THEN 'many' WHEN n = 2 THEN 'two' ELSE 'one' END AS support, n FROM (SELECT fact_id, count(*) AS n FROM cell_support GROUP BY 1)")
@@ -359,12 +412,12 @@ SQL["D84"] = SQL["D84"].replace("\nWITH v AS", ", v AS")
 
 
 # 2.13
-@add("G-SEARCH-FT", "SELECT entity_id, rank FROM (SELECT entity_id, CASE WHEN lower(canonical_name) = 'river county' THEN 0 WHEN starts_with(lower(canonical_name), 'night') THEN 1 ELSE 2 END AS rank, canonical_name FROM entities WHERE contains(lower(canonical_name), 'night')) ORDER BY rank, length(canonical_name), entity_id LIMIT 20")
-def _(s, d):
+@add("G-SEARCH-FT", "SELECT entity_id, rank FROM (SELECT entity_id, CASE WHEN lower(canonical_name) = 'night' THEN 0 WHEN starts_with(lower(canonical_name), 'night') THEN 1 ELSE 2 END AS rank, canonical_name FROM entities WHERE contains(lower(canonical_name), 'night')) ORDER BY rank, length(canonical_name), entity_id LIMIT 20")
+def _(s, d, q="night"):
     """Exact before prefix before containment, then shorter, then by id; the top 20."""
     n = F.lower("canonical_name")
-    rank = F.when(n == "river county", 0).when(n.startswith("night"), 1).otherwise(2)
-    return base.entities(s, d).filter(n.contains("night")).select("entity_id", "canonical_name", rank.alias("rank")).orderBy("rank", F.length("canonical_name"), "entity_id").limit(20).select("entity_id", "rank")
+    rank = F.when(n == q, 0).when(n.startswith(q), 1).otherwise(2)
+    return base.entities(s, d).filter(n.contains(q)).select("entity_id", "canonical_name", rank.alias("rank")).orderBy("rank", F.length("canonical_name"), "entity_id").limit(20).select("entity_id", "rank")
 
 
 @add("H-TIMELINE", "SELECT a.fact_id, a.subject_id, start_date, end_date, event_name FROM assertions a LEFT JOIN frames f ON f.event_id = a.subject_id WHERE start_date IS NOT NULL")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
+from factloom.operators.pairs import pairs_within
 from factloom.operators.ranks import running
 from factloom.plans import base
 from factloom.plans.base import over
@@ -144,8 +145,7 @@ def _(s, d):
 @add("J-MULTIKEY", "SELECT a.state_id AS a, b.state_id AS b FROM states a JOIN states b ON a.culture_subject_id = b.culture_subject_id AND a.culture_form_code = b.culture_form_code AND a.stage_code = b.stage_code AND a.region_id = b.region_id")
 def _(s, d):
     keys = ["culture_subject_id", "culture_form_code", "stage_code", "region_id"]
-    a = base.states(s, d).select(*keys, c("state_id").alias("a"))
-    return a.join(a.withColumnRenamed("a", "b"), keys).select("a", "b")
+    return pairs_within(base.states(s, d).select(*keys, c("state_id").alias("id")), keys, F.lit(True)).select(c("a_id").alias("a"), c("b_id").alias("b"))
 
 
 @add("J-LEFT", "SELECT a.fact_id, count(c.cell_id) AS n FROM assertions a LEFT JOIN cell_support c ON c.fact_id = a.fact_id GROUP BY 1")
@@ -206,16 +206,15 @@ def _(s, d):
 @add("J-THETA-SELF-ORDERED", "SELECT a.fact_id AS a, b.fact_id AS b FROM assertions a JOIN assertions b ON a.subject_id = b.subject_id AND a.predicate = b.predicate AND a.object_id = b.object_id AND a.fact_id < b.fact_id")
 def _(s, d):
     keys = ["subject_id", "predicate", "object_id"]
-    a = facts(s, d).select(*keys, c("fact_id").alias("a"))
-    return a.join(a.withColumnRenamed("a", "b"), keys).filter("a < b").select("a", "b")
+    return pairs_within(facts(s, d).select(*keys, c("fact_id").alias("id")), keys, c("a_id") < c("b_id")).select(c("a_id").alias("a"), c("b_id").alias("b"))
 
 
 @add("J-THETA-STAGE", "SELECT a.state_id AS earlier, b.state_id AS later FROM states a JOIN states b ON a.culture_subject_id = b.culture_subject_id AND a.culture_form_code = b.culture_form_code AND a.region_id <> b.region_id AND a.stage_order < b.stage_order")
 def _(s, d):
     keys = ["culture_subject_id", "culture_form_code"]
-    a = base.states(s, d).select(*keys, "state_id", "stage_order", "region_id")
-    b = a.select(*keys, c("state_id").alias("later"), c("stage_order").alias("o"), c("region_id").alias("r"))
-    return a.join(b, keys).filter("stage_order < o and region_id <> r").select(c("state_id").alias("earlier"), "later")
+    rows = base.states(s, d).select(*keys, c("state_id").alias("id"), "stage_order", "region_id")
+    later = (c("a_stage_order") < c("b_stage_order")) & (c("a_region_id") != c("b_region_id"))
+    return pairs_within(rows, keys, later).select(c("a_id").alias("earlier"), c("b_id").alias("later"))
 
 
 @add("J-INTERVAL-OVERLAP", "SELECT fact_id, stage_order, overlap_start, overlap_end FROM stage_memberships")

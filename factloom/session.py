@@ -57,7 +57,7 @@ def _signature(spark: SparkSession, sf_dir: str, sources: Sequence[str]) -> str:
     return hashlib.sha256("\n".join(told).encode()).hexdigest()[:24]
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, sources: Sequence[str], build: Callable[[], DataFrame]) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, sources: Sequence[str], build: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
     """A layer that is built once per application and state of its source tables, and then read as a parquet table.
 
     It lies beside the checkpoints in the shared folder. Later queries push filters and columns into its scan; a layer of
@@ -68,7 +68,8 @@ def stored(spark: SparkSession, sf_dir: str, name: str, sources: Sequence[str],
     folder = f"{sc.getCheckpointDir()}/layers-{sc.applicationId}/{name}-{_signature(spark, sf_dir, sources)}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(folder)
+        writer = build().write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(folder)
     return spark.read.parquet(folder)
 
 
