@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -332,36 +333,67 @@ def _(s, d):
     return t.withColumn("route", F.when(c("score") >= 4, "HIGH").when(c("score") >= 2, "MEDIUM").when(c("score") == 1, "LOW").otherwise("NO_SIGNAL"))
 
 
-AUDITS = {
-    "assertion_without_subject": "SELECT count(*) FROM assertions a WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.entity_id = a.subject_id)",
-    "blank_entity_name": "SELECT count(*) FROM entities WHERE trim(coalesce(canonical_name, '')) = ''",
-    "confidence_out_of_range": "SELECT count(*) FROM assertions WHERE confidence < 0 OR confidence > 1",
-    "link_without_fact": "SELECT count(*) FROM links l WHERE NOT EXISTS (SELECT 1 FROM assertions a WHERE a.fact_id = l.fact_id)",
-    "merged_into_itself": "SELECT count(*) FROM assertions WHERE merged_into = fact_id",
-    "start_after_end": "SELECT count(*) FROM assertions WHERE start_date > end_date",
-    "state_support_without_state": "SELECT count(*) FROM state_support u WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.state_id = u.state_id)",
-    "unknown_research_tier": "SELECT count(*) FROM assertions WHERE research_tier NOT IN ('strict_semantic', 'contextual', 'unresolved')",
+def _edges(s, d) -> DataFrame:
+    return facts(s, d).filter("research_tier = 'strict_semantic' and subject_id is not null and object_id is not null").select(c("subject_id").alias("src"), c("object_id").alias("dst"), "predicate", "fact_id")
+
+
+_E = "(SELECT subject_id AS src, object_id AS dst, predicate, fact_id FROM assertions WHERE research_tier = 'strict_semantic' AND subject_id IS NOT NULL AND object_id IS NOT NULL)"
+
+
+# The integrity checks: conditions on one layer's rows, and references of one layer's key to another's.
+ROW_CHECKS = {
+    "assertions": {
+        "confidence_out_of_range": "confidence < 0 or confidence > 1", "confidence_missing": "confidence is null", "merged_into_itself": "merged_into = fact_id",
+        "start_after_end": "start_date > end_date", "start_unreadable": "time_start is not null and start_date is null", "end_unreadable": "time_end is not null and end_date is null",
+        "unknown_research_tier": "research_tier not in ('strict_semantic', 'contextual', 'unresolved')", "predicate_missing": "predicate is null", "object_missing": "object_id is null",
+        "no_source_member": "coalesce(source_member_count, 0) < 1", "subject_is_object": "subject_id = object_id",
+    },
+    "entities": {"blank_entity_name": "trim(coalesce(canonical_name, '')) = ''", "entity_without_type": "source_entity_type is null and semantic_entity_type is null", "no_entity_member": "coalesce(member_count, 0) < 1"},
+    "states": {"stage_out_of_range": "stage_order is null or stage_order < 1 or stage_order > 8", "state_without_region": "region_id is null", "state_without_form": "culture_form_code is null"},
+    "links": {"occurrence_after_end": "occurrence_time_start > occurrence_time_end"},
+}
+REFERENCE_CHECKS = {
+    "assertion_without_subject": ("assertions", "subject_id", "entities", "entity_id"), "assertion_without_object": ("assertions", "object_id", "entities", "entity_id"),
+    "merged_into_unknown": ("assertions", "merged_into", "assertions", "fact_id"), "anchor_without_place": ("assertions", "canonical_space_anchor_id", "entities", "entity_id"),
+    "link_without_fact": ("links", "fact_id", "assertions", "fact_id"), "link_without_event": ("links", "event_id", "entities", "entity_id"),
+    "cell_support_without_fact": ("cell_support", "fact_id", "assertions", "fact_id"), "state_support_without_fact": ("state_support", "fact_id", "assertions", "fact_id"),
+    "state_support_without_state": ("state_support", "state_id", "states", "state_id"), "state_without_subject": ("states", "culture_subject_id", "entities", "entity_id"),
+}
+AUDITS = {k: f"SELECT count(*) FROM {layer} WHERE {q}" for layer, checks in ROW_CHECKS.items() for k, q in checks.items()} | {
+    k: f"SELECT count(*) FROM {a} x WHERE x.{key} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {b} y WHERE y.{ref} = x.{key})" for k, (a, key, b, ref) in REFERENCE_CHECKS.items()
 }
 
 
 @add("D76", " UNION ALL ".join(f"SELECT '{k}' AS check_name, ({q}) AS violations" for k, q in AUDITS.items()))
 def _(s, d):
-    """Integrity checks as counts of violations, one row per check."""
-    a, e, l, st, u = facts(s, d), base.entities(s, d), base.links(s, d), base.states(s, d), base.state_support(s, d)
-    missing = lambda df, k, ref, r: df.join(ref.select(c(r).alias(k)), k, "left_anti")
-    checks = {
-        "assertion_without_subject": missing(a, "subject_id", e, "entity_id"), "blank_entity_name": e.filter(F.trim(F.coalesce("canonical_name", F.lit(""))) == ""),
-        "confidence_out_of_range": a.filter("confidence < 0 or confidence > 1"), "link_without_fact": missing(l, "fact_id", a, "fact_id"),
-        "merged_into_itself": a.filter("merged_into = fact_id"), "start_after_end": a.filter("start_date > end_date"),
-        "state_support_without_state": missing(u, "state_id", st, "state_id"), "unknown_research_tier": a.filter("research_tier not in ('strict_semantic', 'contextual', 'unresolved')"),
-    }
+    """Integrity checks as counts of violations, one row per check. All conditions on a layer's rows are counted in one pass,
+    references by one anti join each on the two keys."""
+    layer = {k: getattr(base, k)(s, d) for k in ("assertions", "entities", "states", "links", "cell_support", "state_support")}
     out = None
-    for name, rows in checks.items():
-        one = rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
+    for name, checks in ROW_CHECKS.items():
+        counts = layer[name].agg(*(F.count(F.when(F.expr(q), 1)).alias(k) for k, q in checks.items()))
+        one = counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("check_name"), c(k).alias("violations")) for k in checks))))
         out = one if out is None else out.unionByName(one)
+    for name, (a, key, b, ref) in REFERENCE_CHECKS.items():
+        gone = layer[a].filter(c(key).isNotNull()).select(key).join(layer[b].select(c(ref).alias(key)), key, "left_anti")
+        out = out.unionByName(gone.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check_name"), "violations"))
     return out
 
 
+@add("G-VERIFY", "SELECT 'nodes' AS what, count(*) AS n, count(DISTINCT id) AS ids, count(*) FILTER (caption = '') AS blank FROM (SELECT entity_id AS id, coalesce(trim(canonical_name), '') AS caption FROM entities) UNION ALL SELECT 'edges', count(*), count(DISTINCT fact_id), count(*) FILTER (coalesce(predicate, '') = '') FROM " + _E + " UNION ALL SELECT 'dangling', count(*), count(DISTINCT fact_id), 0 FROM " + _E + " WHERE src NOT IN (SELECT entity_id FROM entities) OR dst NOT IN (SELECT entity_id FROM entities)")
+def _(s, d):
+    """The graph's counts, ids and captions: nodes, edges, and edges with an end that is no node."""
+    e, nodes = _edges(s, d), base.entities(s, d).select(c("entity_id").alias("id"), F.coalesce(F.trim("canonical_name"), F.lit("")).alias("caption"))
+    blank = lambda x: F.count(F.when(x, 1)).alias("blank")
+    of_nodes = nodes.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), blank(c("caption") == ""))
+    of_edges = e.agg(F.count("*").alias("n"), F.countDistinct("fact_id").alias("ids"), blank(F.coalesce("predicate", F.lit("")) == ""))
+    known = lambda k: nodes.select(c("id").alias(k), F.lit(1).alias(f"has_{k}"))
+    loose = e.join(known("src"), "src", "left").join(known("dst"), "dst", "left").filter("has_src is null or has_dst is null")
+    of_loose = loose.agg(F.count("*").alias("n"), F.countDistinct("fact_id").alias("ids"), F.lit(0).cast("long").alias("blank"))
+    name = lambda df, what: df.select(F.lit(what).alias("what"), "n", "ids", "blank")
+    return name(of_nodes, "nodes").unionByName(name(of_edges, "edges")).unionByName(name(of_loose, "dangling"))
+
+
 @add("D80", "SELECT task_id, action_new, CASE WHEN reference_label IS NULL THEN 'unevaluable' WHEN action_new = 'UNRESOLVED' THEN 'abstain' WHEN (action_new = 'REWRITE' AND reference_label = 'AFTER_BETTER') OR (action_new = 'RETAIN' AND reference_label = 'BEFORE_BETTER') THEN 'correct' ELSE 'wrong' END AS outcome, count(*) AS n FROM closure3_old_new_heldout GROUP BY 1, 2, 3")
 def _(s, d):
     ok = ((c("action_new") == "REWRITE") & (c("reference_label") == "AFTER_BETTER")) | ((c("action_new") == "RETAIN") & (c("reference_label") == "BEFORE_BETTER"))
@@ -369,22 +401,20 @@ def _(s, d):
     return table(s, d, "closure3_old_new_heldout").groupBy("task_id", "action_new", outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@add("D79")
+_TAIL = "(SELECT sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))) FROM (SELECT unnest(range(0, least(a, b) + 1)) AS i))"
+
+
+@add("D79", f"SELECT type, a AS after, b AS before, round(p, 6) AS p_value, CASE WHEN a + b >= 20 AND p < 0.05 AND a > b THEN 'REWRITE' WHEN a + b >= 20 AND p < 0.05 THEN 'RETAIN' ELSE 'UNRESOLVED' END AS action FROM (SELECT *, CASE WHEN a + b = 0 THEN 1.0 ELSE least(1.0, 2 * {_TAIL}) END AS p FROM (SELECT type, count(*) FILTER (reference_label = 'AFTER_BETTER') AS a, count(*) FILTER (reference_label = 'BEFORE_BETTER') AS b FROM closure3_old_new_heldout WHERE type IS NOT NULL GROUP BY 1))")
 def _(s, d):
     """Per class of change: wins of after and before and the two-sided binomial test; classes are few."""
     wins = table(s, d, "closure3_old_new_heldout").filter("type is not null").groupBy("type").agg(F.sum((c("reference_label") == "AFTER_BETTER").cast("int")).alias("after"), F.sum((c("reference_label") == "BEFORE_BETTER").cast("int")).alias("before"))
-    p = F.udf(lambda a, b: stats.binomial_two_sided(a or 0, b or 0), "double")
+    p = F.pandas_udf(lambda a, b: pd.Series([stats.binomial_two_sided(int(x), int(y)) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
     w = wins.na.fill(0).withColumn("p_value", p("after", "before"))
     decided = (c("after") + c("before") >= 20) & (c("p_value") < 0.05)
-    return w.withColumn("action", F.when(decided & (c("after") > c("before")), "REWRITE").when(decided, "RETAIN").otherwise("UNRESOLVED"))
+    return w.withColumn("action", F.when(decided & (c("after") > c("before")), "REWRITE").when(decided, "RETAIN").otherwise("UNRESOLVED")).withColumn("p_value", F.round("p_value", 6))
 
 
 # graph and search
-def _edges(s, d) -> DataFrame:
-    return facts(s, d).filter("research_tier = 'strict_semantic' and subject_id is not null and object_id is not null").select(c("subject_id").alias("src"), c("object_id").alias("dst"), "predicate", "fact_id")
-
-
-_E = "(SELECT subject_id AS src, object_id AS dst, predicate, fact_id FROM assertions WHERE research_tier = 'strict_semantic' AND subject_id IS NOT NULL AND object_id IS NOT NULL)"
 _HUB = f"(SELECT id FROM (SELECT src AS id FROM {_E} UNION ALL SELECT dst FROM {_E}) GROUP BY 1 ORDER BY count(*) DESC, id LIMIT 1)"
 
 

@@ -578,7 +578,7 @@ def _(s, d):
 ALIASES = {
     "J-CATALOG-UDF": (analytics, "D29"), "A-MULTI-CTE": (analytics, "D31"), "W-FIRST-OBSERVED": (competency, "D41"), "W-CUMULATIVE": (analytics, "M-RC-CURVE-ROWS"), "W-CUMULATIVE-TIES": (analytics, "M-RC-CURVE"), "W-TRAPEZOID": (analytics, "M-AURC"), "M-AUGRC": (analytics, "M-AURC"),
     "W-LATEST-PY": (relational, "W-LATEST"), "F-ALLEN": (analytics, "D54"), "F-FRAME-REL": (analytics, "D53"), "SRC-CHUNK-IN": (relational, "J-SEMI-IN"),
-    "SRC-ATTACH": (relational, "VIEW-TIER"), "D34": (competency, "CQ14"), "G-VERIFY": (analytics, "D76"),
+    "SRC-ATTACH": (relational, "VIEW-TIER"), "D34": (competency, "CQ14"),
 }
 for _key, (_module, _of) in ALIASES.items():  # Ids that the survey gives to one construct in two places
     _m = _module or __import__(__name__, fromlist=["QUERIES"])

@@ -234,6 +234,41 @@ def _(s, d, seed="seed-7", share=0.1):
     return base.assertions(s, d).filter(X.hash_uniform(F.lit(seed), "fact_id") < share).select("fact_id")
 
 
+@add("G-MERGE", "SELECT id, arg_max(name, rank) AS name, arg_max(kind, rank) AS kind FROM (SELECT entity_id AS id, canonical_name AS name, 'entity' AS kind, 0 AS rank FROM entities UNION ALL SELECT event_id, event_name, 'event', 1 FROM frames UNION ALL SELECT state_id, culture_subject_name, 'state', 2 FROM states) GROUP BY 1")
+def _(s, d):
+    """Nodes of several layers by id; of equal ids the later layer's node counts, whole."""
+    node = lambda df, k, name, kind, rank: df.select(c(k).alias("id"), F.struct(F.lit(rank).alias("rank"), c(name).alias("name"), F.lit(kind).alias("kind")).alias("v"))
+    every = node(base.entities(s, d), "entity_id", "canonical_name", "entity", 0).unionByName(node(base.frames(s, d), "event_id", "event_name", "event", 1)).unionByName(node(base.states(s, d), "state_id", "culture_subject_name", "state", 2))
+    return every.groupBy("id").agg(F.max_by("v", "v.rank").alias("v")).select("id", "v.name", "v.kind")
+
+
+@add("D70-RANDOM", "SELECT fact_id, CASE WHEN ('0x' || substr(sha256('split-1' || chr(31) || fact_id), 1, 12))::BIGINT / 281474976710656.0 < 0.2 THEN 'heldout' ELSE 'train' END AS split FROM assertions")
+def _(s, d):
+    """The random split: a fifth of the facts by hash, the same on every run."""
+    u = X.hash_uniform(F.lit("split-1"), "fact_id")
+    return base.assertions(s, d).select("fact_id", F.when(u < 0.2, "heldout").otherwise("train").alias("split"))
+
+
+_TASKS = "SELECT DISTINCT task_id AS a, 'component ' || component_id AS b FROM closure3_old_new_heldout WHERE task_id IS NOT NULL AND component_id IS NOT NULL"
+
+
+@add("D70-GROUPED", f"WITH RECURSIVE e AS ({_TASKS}), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(a, w) AS (SELECT a, a FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON x.a = r.w), roots AS (SELECT a, min(w) AS root FROM reach GROUP BY 1) SELECT task_id, CASE WHEN ('0x' || substr(sha256('split-2' || chr(31) || coalesce(root, task_id)), 1, 12))::BIGINT / 281474976710656.0 < 0.2 THEN 'heldout' ELSE 'train' END AS split FROM (SELECT DISTINCT task_id FROM closure3_old_new_heldout WHERE task_id IS NOT NULL) LEFT JOIN roots ON a = task_id")
+def _(s, d):
+    """The grouped split: all tasks linked by components fall on one side, by hash of their group's smallest id."""
+    t = table(s, d, "closure3_old_new_heldout").filter("task_id is not null")
+    roots = components(t.select(c("task_id").alias("a"), F.concat(F.lit("component "), "component_id").alias("b"))).select(c("vertex").alias("task_id"), c("component").alias("root"))
+    u = X.hash_uniform(F.lit("split-2"), F.coalesce("root", "task_id"))
+    return t.select("task_id").distinct().join(roots, "task_id", "left").select("task_id", F.when(u < 0.2, "heldout").otherwise("train").alias("split"))
+
+
+@add("M-CLOPPER-PEARSON")
+def _(s, d):
+    """Exact bounds of each method's accuracy; one row per method comes to the driver, and methods are few."""
+    rows = analytics.runs(s, d).groupBy("method").agg(F.sum("correct").alias("k"), F.count("*").alias("n")).collect()
+    out = [(r["method"], *(round(x, 6) for x in analytics.stats.clopper_pearson(int(r["k"]), int(r["n"])))) for r in rows]
+    return s.createDataFrame(out, "method string, low double, high double")
+
+
 # 2.9 components
 @add("D69", "WITH RECURSIVE e AS (SELECT DISTINCT event_id AS a, 'cell ' || cell_id AS b FROM links l JOIN cell_support u ON u.fact_id = l.fact_id), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(a, w) AS (SELECT a, a FROM both_ways UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON x.a = r.w) SELECT a AS vertex, min(w) AS component FROM reach GROUP BY 1")
 def _(s, d):

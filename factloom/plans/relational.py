@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -92,9 +93,27 @@ def _(s, d):
     return facts(s, d).filter(raw | county).select("fact_id", raw.alias("raw"), county.alias("county"))
 
 
-@add("FLT-GLOB", "SELECT fact_id FROM assertions WHERE contains(time_start, '日')")
+def glob(pattern: str) -> str:
+    """A glob of *, ? and [...] (with ! or ^ for all but) as a regular expression of the whole text; a [ without end is itself."""
+    out, i = "^(?s:", 0
+    while i < len(pattern):
+        ch = pattern[i]
+        end = pattern.find("]", i + 2 + (pattern[i + 1 : i + 2] in ("!", "^"))) if ch == "[" else -1
+        if end > 0:
+            body = pattern[i + 1 : end]
+            negated = body[0] in "!^"
+            out += "[" + ("^" if negated else "") + re.sub(r"([\\\[\]^&])", r"\\\1", body[negated:]) + "]"
+            i = end
+        else:
+            out += ".*" if ch == "*" else "." if ch == "?" else re.escape(ch)
+        i += 1
+    return out + ")$"
+
+
+@add("FLT-GLOB", "SELECT fact_id FROM assertions WHERE time_start GLOB '*年*[0-9]?日' OR predicate GLOB 'raw:*' OR predicate GLOB '[!a-m]*_[a-z]?'")
 def _(s, d):
-    return facts(s, d).filter(c("time_start").contains("日")).select("fact_id")
+    match = lambda k, p: c(k).rlike(glob(p))
+    return facts(s, d).filter(match("time_start", "*年*[0-9]?日") | match("predicate", "raw:*") | match("predicate", "[!a-m]*_[a-z]?")).select("fact_id")
 
 
 @add("FLT-REGEX", r"SELECT fact_id FROM assertions WHERE regexp_full_match(time_start, '\d{4}(-\d{2}(-\d{2})?)?')")
@@ -320,11 +339,11 @@ def _(s, d):
     return base.state_support(s, d).groupBy("state_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("fact_id"))).alias("facts"))
 
 
-@add("A-SET-UNION", "SELECT source_entity_type, canonical_name, count(DISTINCT a) AS n FROM (SELECT source_entity_type, canonical_name, unnest(from_json(aliases_json, '[\"VARCHAR\"]')) AS a FROM entities) WHERE a <> canonical_name GROUP BY 1, 2")
+@add("A-SET-UNION", "SELECT source_entity_type, canonical_name, list_sort(list(DISTINCT a)) AS aliases FROM (SELECT source_entity_type, canonical_name, unnest(from_json(aliases_json, '[\"VARCHAR\"]')) AS a FROM entities) WHERE a <> canonical_name GROUP BY 1, 2")
 def _(s, d):
-    """The union of the aliases of all records of one name, without the name itself."""
+    """The sorted union of the aliases of all records of one name, without the name itself."""
     a = base.entities(s, d).select("source_entity_type", "canonical_name", F.explode(F.from_json("aliases_json", "array<string>")).alias("a")).filter("a <> canonical_name")
-    return a.groupBy("source_entity_type", "canonical_name").agg(F.countDistinct("a").alias("n"))
+    return a.groupBy("source_entity_type", "canonical_name").agg(F.array_sort(F.collect_set("a")).alias("aliases"))
 
 
 QUERIES["D26"], SQL["D26"] = QUERIES["A-SET-UNION"], SQL["A-SET-UNION"]
