@@ -187,12 +187,34 @@ def _rules(column: str) -> list[Column]:
     return [kind[F.col(column)].alias("transition_type"), sure[F.col(column)].alias("confidence")]
 
 
+def publication_gate(candidates: DataFrame, regions_of: DataFrame, stages_of: DataFrame) -> DataFrame:
+    """Candidates with publication_gate_reason. A direct candidate of two trusted states is published if it is the only
+    one of its fact that lies in a region and a stage which the fact itself names, where it names any.
+
+    candidates: fact_id, rule_kind, from_region_id, from_stage_order, and both observation tiers; regions_of: fact_id,
+    region_id; stages_of: fact_id, stage_order. Facts are counted by an aggregate that combines before the shuffle.
+    """
+    regions_of, stages_of = regions_of.select("fact_id", "region_id").distinct(), stages_of.select("fact_id", "stage_order").distinct()
+    names = lambda df, flag: df.select("fact_id").distinct().withColumn(flag, F.lit(True))
+    at = candidates.join(names(regions_of, "has_region"), "fact_id", "left").join(names(stages_of, "has_stage"), "fact_id", "left")
+    at = at.join(regions_of.select("fact_id", F.col("region_id").alias("from_region_id"), F.lit(True).alias("in_region")), ["fact_id", "from_region_id"], "left")
+    at = at.join(stages_of.select("fact_id", F.col("stage_order").alias("from_stage_order"), F.lit(True).alias("in_stage")), ["fact_id", "from_stage_order"], "left")
+    trusted = F.col("from_observation_tier").eqNullSafe("trusted_event_spacetime") & F.col("to_observation_tier").eqNullSafe("trusted_event_spacetime")
+    fits = (F.col("has_region").isNull() | F.col("in_region").isNotNull()) & (F.col("has_stage").isNull() | F.col("in_stage").isNotNull())
+    at = at.withColumn("ok", (F.col("rule_kind") == "direct") & trusted & fits)
+    alone = at.filter("ok").groupBy("fact_id").agg(F.count("*").alias("n")).filter("n = 1").select("fact_id", F.lit(True).alias("alone"))
+    named = F.col("has_region").isNotNull() | F.col("has_stage").isNotNull()
+    chosen = F.when(named, "unique_explicit_spatiotemporal_match").otherwise("unique_trusted_state_pair")
+    reason = F.when(F.col("rule_kind") == "spatial", "spatial_review_required").when(~trusted, "nontrusted_state").when(F.col("ok") & F.col("alone"), chosen).otherwise("ambiguous_spatiotemporal_expansion")
+    return at.join(alone, "fact_id", "left").select(*candidates.columns, reason.alias("publication_gate_reason"))
+
+
 @layer("research_assertions", "research_culture_states", "research_culture_state_support")
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Transition candidates from shared supporting facts, with their publication gate.
 
     direct: both states rest on the fact, in one stage and region. spatial: same subject and form, later stage, other
-    region, the fact supports the later state. The gate publishes a fact's candidate if it is the fact's only one.
+    region, the fact supports the later state. See publication_gate for what is published.
     """
     s = states(spark, sf).select("state_id", "culture_subject_id", "culture_form_code", "stage_order", "region_id", "observation_tier")
     sup = state_support(spark, sf).select("state_id", "fact_id").distinct()
@@ -201,19 +223,17 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     side = lambda p: on.select("fact_id", *(F.col(c).alias(f"{p}_{c}") for c in ("state_id", "stage_order", "region_id", "observation_tier")))
     x = side("to").join(ruled, "fact_id")
     direct = side("from").join(x, "fact_id").filter("from_stage_order = to_stage_order and from_region_id = to_region_id and from_state_id < to_state_id")
-    keep = ["transition_type", "confidence", "from_state_id", "to_state_id", "fact_id", "from_observation_tier", "to_observation_tier"]
+    keep = ["transition_type", "confidence", "from_state_id", "to_state_id", "fact_id", "from_observation_tier", "to_observation_tier", "from_stage_order", "from_region_id"]
     spread = on.filter("transition_type = 'spread_to'")
     later = spread.select("fact_id", "transition_type", "confidence", "culture_subject_id", "culture_form_code", *(F.col(c).alias(f"to_{c}") for c in ("state_id", "stage_order", "region_id", "observation_tier")))
     early = s.select("culture_subject_id", "culture_form_code", *(F.col(c).alias(f"from_{c}") for c in ("state_id", "stage_order", "region_id", "observation_tier")))
     spatial = early.join(later, ["culture_subject_id", "culture_form_code"]).filter("from_stage_order < to_stage_order and from_region_id <> to_region_id")
     both = direct.select(*keep, F.lit("direct").alias("rule_kind")).unionByName(spatial.select(*keep, F.lit("spatial").alias("rule_kind")))
-    n = F.count("*").over(W.partitionBy("fact_id"))
-    trusted = (F.col("from_observation_tier") != "relation_context") & (F.col("to_observation_tier") != "relation_context")
-    reason = F.when(~trusted, "context_state").when(n > 1, "ambiguous_fact").when(F.col("confidence") < 0.7, "low_confidence").otherwise("eligible")
-    return both.withColumn("publication_gate_reason", reason).select(
+    gated = publication_gate(both, fact_regions(spark, sf), stage_memberships(spark, sf))
+    return gated.select(
         stable_id("CAND", "transition_type", "from_state_id", "to_state_id", "fact_id").alias("candidate_id"), "transition_type", "confidence", "rule_kind",
         "from_state_id", "to_state_id", F.col("fact_id").alias("supporting_fact_id"), "publication_gate_reason",
-        (F.col("publication_gate_reason") == "eligible").cast("int").alias("publication_eligible"),
+        F.col("publication_gate_reason").startswith("unique_").cast("int").alias("publication_eligible"),
     )
 
 
@@ -276,12 +296,15 @@ FROM (SELECT event_id, stage_order, region_id, max(rank) AS rank, max(tf) AS tim
 JOIN stages s ON s.stage_order = m.stage_order JOIN regions r ON r.region_id = m.region_id JOIN frames f ON f.event_id = m.event_id""",
     "ruled": f"SELECT fact_id, t AS transition_type, c AS confidence FROM assertions JOIN (VALUES {_RULES_SQL}) r(p, t, c) ON predicate = p",
     "supported": "SELECT DISTINCT r.fact_id, r.transition_type, r.confidence, s.state_id, s.culture_subject_id, s.culture_form_code, s.stage_order, s.region_id, s.observation_tier FROM state_support u JOIN ruled r ON r.fact_id = u.fact_id JOIN states s ON s.state_id = u.state_id",
-    "candidates": """SELECT 'CAND-' || substr(sha256(concat_ws(chr(31), transition_type, from_state_id, to_state_id, fact_id)), 1, 24) AS candidate_id, transition_type, confidence, rule_kind, from_state_id, to_state_id, fact_id AS supporting_fact_id, reason AS publication_gate_reason, (reason = 'eligible')::INTEGER AS publication_eligible
-FROM (SELECT *, CASE WHEN ft = 'relation_context' OR tt = 'relation_context' THEN 'context_state' WHEN count(*) OVER (PARTITION BY fact_id) > 1 THEN 'ambiguous_fact' WHEN confidence < 0.7 THEN 'low_confidence' ELSE 'eligible' END AS reason FROM (
-  SELECT a.transition_type, a.confidence, a.state_id AS from_state_id, b.state_id AS to_state_id, a.fact_id, a.observation_tier AS ft, b.observation_tier AS tt, 'direct' AS rule_kind
+    "proposed": """SELECT a.transition_type, a.confidence, a.state_id AS from_state_id, b.state_id AS to_state_id, a.fact_id, a.observation_tier AS ft, b.observation_tier AS tt, 'direct' AS rule_kind, a.stage_order AS fs, a.region_id AS fr
   FROM supported a JOIN supported b ON a.fact_id = b.fact_id AND a.stage_order = b.stage_order AND a.region_id = b.region_id AND a.state_id < b.state_id
-  UNION ALL SELECT b.transition_type, b.confidence, a.state_id, b.state_id, b.fact_id, a.observation_tier, b.observation_tier, 'spatial'
-  FROM states a JOIN supported b ON a.culture_subject_id = b.culture_subject_id AND a.culture_form_code = b.culture_form_code AND a.stage_order < b.stage_order AND a.region_id <> b.region_id WHERE b.transition_type = 'spread_to'))""",
+  UNION ALL SELECT b.transition_type, b.confidence, a.state_id, b.state_id, b.fact_id, a.observation_tier, b.observation_tier, 'spatial', a.stage_order, a.region_id
+  FROM states a JOIN supported b ON a.culture_subject_id = b.culture_subject_id AND a.culture_form_code = b.culture_form_code AND a.stage_order < b.stage_order AND a.region_id <> b.region_id WHERE b.transition_type = 'spread_to'""",
+    "gated": """SELECT p.*, coalesce(ft = 'trusted_event_spacetime' AND tt = 'trusted_event_spacetime', false) AS trusted, fact_id IN (SELECT fact_id FROM fact_regions) AS hr, fact_id IN (SELECT fact_id FROM stage_memberships) AS hs,
+  (fact_id, fr) IN (SELECT (fact_id, region_id) FROM fact_regions) AS ir, (fact_id, fs) IN (SELECT (fact_id, stage_order) FROM stage_memberships) AS ins FROM proposed p""",
+    "candidates": """SELECT 'CAND-' || substr(sha256(concat_ws(chr(31), transition_type, from_state_id, to_state_id, fact_id)), 1, 24) AS candidate_id, transition_type, confidence, rule_kind, from_state_id, to_state_id, fact_id AS supporting_fact_id, reason AS publication_gate_reason, starts_with(reason, 'unique_')::INTEGER AS publication_eligible
+FROM (SELECT *, CASE WHEN rule_kind = 'spatial' THEN 'spatial_review_required' WHEN NOT trusted THEN 'nontrusted_state' WHEN ok AND count(*) FILTER (ok) OVER (PARTITION BY fact_id) = 1 THEN CASE WHEN hr OR hs THEN 'unique_explicit_spatiotemporal_match' ELSE 'unique_trusted_state_pair' END ELSE 'ambiguous_spatiotemporal_expansion' END AS reason
+FROM (SELECT *, rule_kind = 'direct' AND trusted AND (NOT hr OR ir) AND (NOT hs OR ins) AS ok FROM gated))""",
     "transitions": "SELECT 'TRANS-' || substr(sha256(concat_ws(chr(31), transition_type, from_state_id, to_state_id)), 1, 24) AS transition_id, transition_type, from_state_id, to_state_id, max(confidence) AS confidence, count(DISTINCT supporting_fact_id) AS supporting_fact_count FROM candidates WHERE publication_eligible = 1 GROUP BY ALL",
 }
 

@@ -142,3 +142,19 @@ def test_longest_names(spark, monkeypatch):
     monkeypatch.setattr(curation, "DICTIONARY", 1)
     assert {r["doc_id"]: r["longest"] for r in curation.longest_names(docs, names).collect()} == want
     assert curation.longest_names(docs, names.limit(0)).count() == 0
+
+
+def test_publication_gate(spark):
+    from factloom.plans.base import publication_gate
+
+    good, s = "trusted_event_spacetime", "fact_id string, rule_kind string, from_region_id string, from_stage_order int, from_observation_tier string, to_observation_tier string, k string"
+    rows = [("f", "direct", "R1", 1, good, good, "A"), ("f", "direct", "R2", 1, good, good, "B"), ("g", "direct", "R1", 1, good, good, "A"), ("g", "direct", "R2", 1, good, good, "B"), ("h", "direct", "R1", 1, good, good, "A")]
+    rows += [("h", "spatial", "R1", 1, good, good, "S"), ("i", "direct", "R1", 1, good, "relation_context", "N"), ("i", "direct", "R1", 1, good, None, "M")]
+    regions = spark.createDataFrame([("f", "R2"), ("f", "R2")], "fact_id string, region_id string")
+    stages = spark.createDataFrame([("f", 1), ("g", 1)], "fact_id string, stage_order int")
+    got = {(r["fact_id"], r["k"]): r["publication_gate_reason"] for r in publication_gate(spark.createDataFrame(rows, s), regions, stages).collect()}
+    many = "ambiguous_spatiotemporal_expansion"
+    assert got == {
+        ("f", "A"): many, ("f", "B"): "unique_explicit_spatiotemporal_match", ("g", "A"): many, ("g", "B"): many, ("h", "A"): "unique_trusted_state_pair",
+        ("h", "S"): "spatial_review_required", ("i", "N"): "nontrusted_state", ("i", "M"): "nontrusted_state",
+    }
