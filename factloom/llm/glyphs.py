@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from factloom.session import cut
+
 # Letters and signs that readers can't tell apart, each pair as look-alike and its plain form, by script.
 LOOK_ALIKE_LETTERS = (
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl ӀI ԌG ԚQ ԜW ѴV ѵv ҮY "
@@ -248,7 +250,7 @@ def _formed(df: DataFrame, key: str, text: str, within: list[str]) -> tuple[Data
     """Distinct (within, id, text, form), and of each form that is written in two ways its n_ids and n_spellings."""
     cols = [F.col(c) for c in within]
     rows = df.select(*cols, F.col(key).alias("id"), F.col(text).alias("text")).dropna()
-    formed = rows.withColumn("form", plain_column(F.col("text"))).distinct()
+    formed = cut(rows.withColumn("form", plain_column(F.col("text"))).distinct())  # both branches read it; forms are made once
     several = formed.groupBy(*within, "form").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).filter("lo <> hi")
     return formed, several.select(*within, "form")
 
