@@ -10,6 +10,7 @@ so give the consensus. One number per annotator can't use who swaps two labels b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -59,9 +60,12 @@ def spectral_reliability(votes: DataFrame, labels: Sequence[str], tolerance: flo
         agree = sum((F.col(f"x{i}") * (F.col(f"s{i}") - F.col("r") * F.col(f"x{i}")) for i in k), F.lit(0.0))
         step = both.groupBy("rater").agg(F.first("r").alias("old"), F.sum(agree).alias("u"), F.sum(F.col("qq") - F.col("r") * F.col("r")).alias("d"))
         moved = F.when(F.col("d") > 1e-12, F.col("u") / F.when(F.col("d") > 1e-12, F.col("d"))).otherwise(0.0)
-        told = cut(step.select("rater", "old", ((F.col("old") + moved) / 2).alias("r")))  # the mean keeps the scale from swinging
-        r = told.select("rater", "r")
-        move = told.agg(F.max(F.abs(F.col("r") - F.col("old"))).alias("by"), F.max(F.abs("r")).alias("of")).first()
+        told = cut(step.select("rater", "old", moved.alias("new")))
+        size = told.agg(F.sqrt(F.sum(F.col("old") * F.col("old"))).alias("old"), F.sqrt(F.sum(F.col("new") * F.col("new"))).alias("new")).first()
+        # a vector that is too long by some factor comes back too short by the same, so the length between both is right
+        scale = math.sqrt(size["old"] / size["new"]) if size["old"] and size["new"] else 1.0
+        r = told.select("rater", (F.col("new") * scale).alias("r"))
+        move = told.agg(F.max(F.abs(F.col("new") * scale - F.col("old"))).alias("by"), F.max(F.abs(F.col("new") * scale)).alias("of")).first()
         if (move["by"] or 0.0) <= tolerance * max(move["of"] or 0.0, 1e-6):
             break
     else:
