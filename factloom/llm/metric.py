@@ -32,7 +32,7 @@ SAMPLE = 512  # texts of a cell of which its pivots are chosen; any pivots give
 MOST_COPIES, LEAST_SHRINK = 3.0, 0.5  # a partition pays up to so many copies of a text and down to so large a largest cell
 LONG = 256
 TABLE_CELLS = 8_000_000
-TASK_LOAD = 20_000
+TASK_LOAD, SLICE_LOAD = 20_000, 2_000
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -199,14 +199,17 @@ def _partition(rows: DataFrame, cell_load: int, radius: int, levels: int) -> tup
         if total is None:
             return small, stuck
         tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(total // TASK_LOAD))
+        slices = big.select("cell", F.ceil(F.col("load") / SLICE_LOAD).alias("slices"))  # a large cell's rows are assigned in many tasks
         rows = rows.join(big.select("cell"), "cell")
         salt = F.pmod(F.xxhash64("text"), F.lit(SAMPLE))
         sample = rows.filter("home").groupBy("cell", salt.alias("salt")).agg(F.min_by("text", F.xxhash64("text", F.lit(1))).alias("text"))
         choose = lambda key, pdf: pd.DataFrame({"cell": [key[0]], "pivots": [_choose(pdf.sort_values("salt")["text"].tolist(), radius)]})
         pivots = cut(sample.groupBy("cell").applyInPandas(choose, "cell string, pivots array<string>"))
         stuck.append(rows.join(pivots.filter("size(pivots) = 0").select("cell"), "cell", "left_semi"))
-        open_rows = rows.repartition(tasks, "text").join(pivots.filter("size(pivots) > 0"), "cell")
-        split = cut(open_rows.mapInPandas(_assign(radius), "cell string, child int, kind string, block string, text string, home boolean"))
+        paying = pivots.filter("size(pivots) > 0").join(slices, "cell")
+        dealt = rows.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("text"), F.col("slices"))).drop("slices").repartition(tasks, "cell", "slice")
+        copies = paying.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices").repartition(tasks, "cell", "slice")
+        split = cut(dealt.join(copies, ["cell", "slice"]).drop("slice").mapInPandas(_assign(radius), "cell string, child int, kind string, block string, text string, home boolean"))
         living = split.filter("home").select("cell", "child").distinct()  # a cell of guests only joins nothing
         rows = split.join(living, ["cell", "child"], "left_semi").withColumn("cell", F.concat_ws("\x1f", "cell", "child")).select(*ROWS)
     return small, [*stuck, rows]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from factloom.llm.components import connected_components
 from factloom.llm.glyphs import plain_column
 from factloom.llm.metric import _within, radius_join
-from factloom.session import cut
+from factloom.session import cut, shuffle_width
 
 # Common short forms of English given names.
 NICKNAMES = {
@@ -342,7 +342,8 @@ def name_groups(named: DataFrame, aliases: DataFrame) -> DataFrame:
         .groupBy("form").agg(F.max("person").alias("person"), F.max("body").alias("body"))
     )
     given, kinds = _lexicon(forms)
-    read = cut(forms.select("form", "person", "body").mapInPandas(_reader(given, kinds), READ))
+    spread = forms.select("form", "person", "body").repartition(shuffle_width(forms.sparkSession), "form")
+    read = cut(spread.mapInPandas(_reader(given, kinds), READ))
     person = F.col("kind").startswith("person")  # of the read name, not of the record
     hub = lambda kind, block, key: F.concat_ws("\x1f", F.lit("\x01"), kind, block, key)
     full = read.filter("role = 'full'").select("form", "kind", "block", "key", "joined")
@@ -380,13 +381,18 @@ def name_groups(named: DataFrame, aliases: DataFrame) -> DataFrame:
     one_start = short.filter("start <> ''").groupBy("form").agg(F.count("*").alias("n")).filter("n = 1").select(F.col("form").alias("a"))
     alike = alike.join(one_start, "a", "left_semi").unionByName(alike.filter(F.col("b").contains("body cjk")))
     ties = (
-        roots.select(F.col("vertex").alias("a"), F.col("root").alias("b"))
-        .unionByName(follow.select(F.col("form").alias("a"), F.col("root").alias("b")))
+        follow.select(F.col("form").alias("a"), F.col("root").alias("b"))
         .unionByName(alike)
         .unionByName(aliases.select(F.col("form").alias("a"), F.col("alias").alias("b")))
     )
-    groups = connected_components(ties)
-    return groups.filter(~F.col("vertex").startswith("\x01")).select(F.col("vertex").alias("form"), F.col("root").alias("group"))
+    # what is tied already stands for its root, so that only the new ties between groups are left to follow
+    root_of = lambda k: roots.select(F.col("vertex").alias(k), F.col("root").alias(f"{k}_root"))
+    between = ties.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    between = between.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).filter("a <> b").distinct()
+    merged = cut(connected_components(between))
+    first = roots.join(merged.select(F.col("vertex").alias("root"), F.col("root").alias("group")), "root", "left").select("vertex", F.coalesce("group", "root").alias("group"))
+    later = merged.join(roots.select("vertex"), "vertex", "left_anti").select("vertex", F.col("root").alias("group"))
+    return first.unionByName(later).filter(~F.col("vertex").startswith("\x01")).withColumnRenamed("vertex", "form")
 
 
 def record_forms(entities: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
