@@ -1,9 +1,9 @@
 """Parent-child links of unknown depth to full hierarchies, with cycles (problem 2).
 
-Level-wise frontier joins run from the roots and extend path and depth. What a level has attached leaves the links, and the
-links left over are laid out anew whenever they have halved, so a walk reads the links about twice in sum, not once a level;
-thin levels go several to a job. Nodes that no level reaches hang on a cycle; inside that remainder, pointer doubling finds
-the cycles' own nodes in logarithmically many joins, and the same walk then runs down from them.
+Ways up double in length each round, so a hierarchy of depth d takes some log2(d) joins and as many jobs, whatever its
+depth; a join a level would leave the driver with plans and task records for every level. Only nodes that have children of
+their own take part; leaves and roots are added by one join at the end. Nodes whose way up never ends hang on a cycle; they
+are told apart first, by steps without paths, so that no path goes round a cycle.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import cut, shuffle_width
+from factloom.session import cut
 
 FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 HALF_WIDTH = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -39,40 +39,51 @@ def other_parents(df: DataFrame, child: str, parent: str) -> DataFrame:
     return both.distinct().join(parent_links(df, child, parent), ["node", "parent"], "left_anti")
 
 
-LEVELS_A_JOB = 4
+def _rings(inner: DataFrame) -> DataFrame | None:
+    """(node, parent, root) of the nodes on cycles, root being the cycle's smallest id; None where there is no cycle.
 
-
-def _walk_down(start: DataFrame, links: DataFrame) -> DataFrame:
-    """start(node, root, depth, ids) and all levels below; links(parent, node) must lead to each node once.
-
-    Each job attaches LEVELS_A_JOB levels; the next frontier is its last one. The levels are merged like the digits of a
-    counter, so that the union has logarithmically many branches and every row is written again as often at most.
+    Each round doubles the steps of all nodes at once; a node whose way up ends on the steps drops out. When neither the
+    nodes left nor the places that they have come to grow fewer, the ways left are endless and those places are the cycles.
     """
-    open_links, laid_out, done = links, links.count(), []
-    frontier, attached = start, 0
+    jump, before = inner.select("node", F.col("parent").alias("to")), None
     while True:
-        levels, last = [], frontier
-        for k in range(LEVELS_A_JOB):
-            last = open_links.join(last.select(F.col("node").alias("parent"), "root", "depth", "ids"), "parent").select(
-                "node", "root", (F.col("depth") + 1).alias("depth"), F.array_append("ids", F.col("node")).alias("ids"), F.lit(k).alias("__level")
+        far = jump.select(F.col("node").alias("to"), F.col("to").alias("then"))
+        jump = cut(jump.join(far, "to").select("node", F.col("then").alias("to")))
+        now = jump.agg(F.count("*"), F.count_distinct("to")).first()
+        if not now[0]:
+            return None
+        if now == before:
+            break
+        before = now
+    on, lower = jump.select(F.col("to").alias("node")).distinct(), True
+    ring = cut(on.join(inner, "node").select("node", "parent", F.col("parent").alias("to"), F.least("node", "parent").alias("root")))
+    while lower:  # stretches of equal length make up a cycle, so when none tells the one before it a smaller id, all know it
+        far = ring.select(F.col("node").alias("to"), F.col("to").alias("then"), F.col("root").alias("far_root"))
+        ring = cut(
+            ring.join(far, "to").select(
+                "node", "parent", F.col("then").alias("to"), F.least("root", "far_root").alias("root"), (F.col("far_root") < F.col("root")).alias("lower")
             )
-            levels.append(last)
-        step = cut(_union(levels).coalesce(shuffle_width(links.sparkSession)))
-        counts = {r["__level"]: r["count"] for r in step.groupBy("__level").count().collect()}  # LEVELS_A_JOB rows at most
-        if not counts:
-            return _union([start, *(d for _, d in done)])
-        reached, size = step.drop("__level"), 1
-        while done and done[-1][0] == size:
-            reached, size = cut(done.pop()[1].unionByName(reached).coalesce(shuffle_width(links.sparkSession))), size * 2
-        done.append((size, reached))
-        attached += sum(counts.values())
-        if LEVELS_A_JOB - 1 not in counts:
-            return _union([start, *(d for _, d in done)])
-        frontier = step.filter(F.col("__level") == LEVELS_A_JOB - 1).drop("__level")
-        if attached * 2 >= laid_out:
-            known = _union([d for _, d in done]).select("node")
-            open_links = cut(links.join(known, "node", "left_anti").repartition(shuffle_width(links.sparkSession), "parent"))
-            laid_out, attached = laid_out - attached, 0
+        )
+        lower = not ring.filter("lower").isEmpty()
+    return ring.select("node", "parent", "root")
+
+
+def _ways(free: DataFrame) -> DataFrame:
+    """(node, parent, to, ids) of links without cycles: to is the first node above that is none of theirs, ids the way from
+    below it down to the node. Ways double in length each round, and one that has come to its end isn't written again."""
+    known = free.select(F.col("node").alias("to"), F.lit(True).alias("open"))
+    step = free.select("node", "parent", F.col("parent").alias("to"), F.array("node").alias("ids")).join(known, "to", "left")
+    step = cut(step.select("node", "parent", "to", "ids", F.coalesce("open", F.lit(False)).alias("open")))
+    ended = [step.filter("not open")]
+    while not step.filter("open").isEmpty():
+        far = _union([*ended, step.filter("open")]).select(
+            F.col("node").alias("to"), F.col("to").alias("then"), F.col("ids").alias("upper"), F.col("open").alias("still")
+        )
+        step = cut(
+            step.filter("open").join(far, "to").select("node", "parent", F.col("then").alias("to"), F.concat("upper", "ids").alias("ids"), F.col("still").alias("open"))
+        )
+        ended.append(step.filter("not open"))
+    return _union(ended).drop("open")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -82,24 +93,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _cycle_roots(rest: DataFrame) -> DataFrame:
-    """(node, root) of the nodes on cycles of rest(node, parent), where each node's parent is in rest too."""
-    n, hops, jump = rest.count(), 1, rest.select("node", F.col("parent").alias("to"))
-    while hops < n:  # after that many steps up, every walk is on its cycle, and every cycle node is some walk's place
-        far = jump.select(F.col("node").alias("to"), F.col("to").alias("then"))
-        jump, hops = cut(jump.join(far, "to").select("node", F.col("then").alias("to"))), hops * 2
-    on = cut(jump.select(F.col("to").alias("node")).distinct())
-    size, hops = on.count(), 1
-    walk = on.join(rest, "node").select("node", F.col("parent").alias("to"), F.least("node", "parent").alias("root"))
-    while hops < size:
-        far = walk.select(F.col("node").alias("to"), F.col("to").alias("then"), F.col("root").alias("far_root"))
-        walk = cut(
-            walk.join(far, "to").select("node", F.col("then").alias("to"), F.least("root", "far_root").alias("root"))
-        )
-        hops *= 2
-    return walk.select("node", "root")
-
-
 def hierarchy(df: DataFrame, child: str, parent: str, sep: str = ">") -> DataFrame:
     """One row per node named by a link: node, parent, root, depth (long), path (text joined by sep), ids (the same
     as an array), cycle_state.
@@ -110,24 +103,29 @@ def hierarchy(df: DataFrame, child: str, parent: str, sep: str = ">") -> DataFra
     Links with a null end name no node; repeated links count once; of several parents the smallest counts
     (other_parents lists the rest); an empty input gives no rows; other columns are ignored.
     """
-    spark = df.sparkSession
-    n = shuffle_width(spark)
-    links = cut(parent_links(df, child, parent).repartition(n, "parent"))
-    roots = links.select(F.col("parent").alias("node")).distinct().join(links, "node", "left_anti")
-    start = cut(
-        roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.array("node").alias("ids"))
+    links = cut(parent_links(df, child, parent))
+    tops = links.select(F.col("parent").alias("node")).distinct()
+    inner = cut(links.join(tops, "node", "left_semi"))
+    rings = _rings(inner)
+    ways = _ways(inner if rings is None else inner.join(rings.select("node"), "node", "left_anti"))
+    own, none = F.array("node"), F.lit("none")
+    upper = tops.join(links, "node", "left_anti").select(
+        "node", F.lit(None).cast(links.schema["parent"].dataType).alias("parent"), F.col("node").alias("root"), own.alias("ids"), none.alias("cycle_state")
     )
-    trees = _walk_down(start, links)
-    rest = cut(links.join(trees.select("node"), "node", "left_anti"))
-    done = trees.withColumn("cycle_state", F.lit("none"))
-    if not rest.isEmpty():
-        on = cut(
-            _cycle_roots(rest).select("node", "root", F.lit(0).cast("long").alias("depth"), F.array("node").alias("ids"))
+    down = F.concat(F.array("to"), "ids").alias("ids")
+    if rings is None:
+        upper = upper.unionByName(ways.select("node", "parent", F.col("to").alias("root"), down, none.alias("cycle_state")))
+    else:
+        upper = upper.unionByName(rings.select("node", "parent", "root", own.alias("ids"), F.lit("on").alias("cycle_state")))
+        ring = rings.select(F.col("node").alias("to"), F.col("root").alias("ring"))
+        state = F.when(F.col("ring").isNotNull(), "below").otherwise("none")
+        upper = upper.unionByName(
+            ways.join(ring, "to", "left").select("node", "parent", F.coalesce("ring", "to").alias("root"), down, state.alias("cycle_state"))
         )
-        tails = cut(rest.join(on.select("node"), "node", "left_anti").repartition(n, "parent"))
-        all_below = on if tails.isEmpty() else _walk_down(on, tails)
-        done = done.unionByName(all_below.withColumn("cycle_state", F.when(F.col("depth") == 0, "on").otherwise("below")))
-    return done.join(links, "node", "left").select("node", "parent", "root", "depth", F.array_join("ids", sep).alias("path"), "ids", "cycle_state")
+    above = upper.select(F.col("node").alias("parent"), "root", "ids", F.when(F.col("cycle_state") == "on", "below").otherwise(F.col("cycle_state")).alias("cycle_state"))
+    leaves = links.join(tops, "node", "left_anti").join(above, "parent")
+    out = upper.unionByName(leaves.withColumn("ids", F.array_append("ids", F.col("node"))))
+    return out.select("node", "parent", "root", (F.size("ids") - 1).cast("long").alias("depth"), F.array_join("ids", sep).alias("path"), "ids", "cycle_state")
 
 
 def descendant_pairs(nodes: DataFrame) -> DataFrame:

@@ -86,3 +86,14 @@ def test_long_chain_reads_the_links_about_twice(spark, monkeypatch):
 def test_ids_with_the_separator(spark):
     nodes = hierarchy(spark.createDataFrame([("b>x", "a>", ""), ("c", "b>x", "")], S), "child", "parent")
     assert {tuple(r) for r in descendant_pairs(nodes).collect()} == {("a>", "b>x", 1), ("a>", "c", 2), ("b>x", "c", 1)}
+
+
+def test_deep_ways_and_rings_take_few_jobs(spark, monkeypatch):
+    from factloom.operators import hierarchy as module
+
+    cuts, real = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: cuts.append(1) or real(df))
+    links = [(f"n{i + 1:03d}", f"n{i:03d}") for i in range(200)] + [("x", "n150"), ("s", "s"), ("t", "s")]
+    links += [(f"r{i:02d}", f"r{(i + 1) % 40:02d}") for i in range(40)] + [("q00", "r07")] + [(f"q{i + 1:02d}", f"q{i:02d}") for i in range(25)]
+    nodes = hierarchy(spark.createDataFrame([(c, p, "") for c, p in links], S), "child", "parent")
+    assert got(nodes) == brute(links) and len(cuts) <= 30  # 60 and more where each four levels are a job
