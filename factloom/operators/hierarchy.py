@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import cut
+from factloom.session import cut, kept
 
 FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 HALF_WIDTH = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -45,10 +45,10 @@ def _rings(inner: DataFrame) -> DataFrame | None:
     Each round doubles the steps of all nodes at once; a node whose way up ends on the steps drops out. When neither the
     nodes left nor the places that they have come to grow fewer, the ways left are endless and those places are the cycles.
     """
-    jump, before = inner.select("node", F.col("parent").alias("to")), None
+    jump, last, before = inner.select("node", F.col("parent").alias("to")), None, None
     while True:
         far = jump.select(F.col("node").alias("to"), F.col("to").alias("then"))
-        jump = cut(jump.join(far, "to").select("node", F.col("then").alias("to")))
+        jump = last = kept(jump.join(far, "to").select("node", F.col("then").alias("to")), last)
         now = jump.agg(F.count("*"), F.count_distinct("to")).first()
         if not now[0]:
             return None
@@ -73,13 +73,13 @@ def _ways(free: DataFrame) -> DataFrame:
     below it down to the node. Ways double in length each round, and one that has come to its end isn't written again."""
     known = free.select(F.col("node").alias("to"), F.lit(True).alias("open"))
     step = free.select("node", "parent", F.col("parent").alias("to"), F.array("node").alias("ids")).join(known, "to", "left")
-    step = cut(step.select("node", "parent", "to", "ids", F.coalesce("open", F.lit(False)).alias("open")))
+    step = kept(step.select("node", "parent", "to", "ids", F.coalesce("open", F.lit(False)).alias("open")))
     ended = [step.filter("not open")]
     while not step.filter("open").isEmpty():
         far = _union([*ended, step.filter("open")]).select(
             F.col("node").alias("to"), F.col("to").alias("then"), F.col("ids").alias("upper"), F.col("open").alias("still")
         )
-        step = cut(
+        step = kept(
             step.filter("open").join(far, "to").select("node", "parent", F.col("then").alias("to"), F.concat("upper", "ids").alias("ids"), F.col("still").alias("open"))
         )
         ended.append(step.filter("not open"))
@@ -103,15 +103,14 @@ def hierarchy(df: DataFrame, child: str, parent: str, sep: str = ">") -> DataFra
     Links with a null end name no node; repeated links count once; of several parents the smallest counts
     (other_parents lists the rest); an empty input gives no rows; other columns are ignored.
     """
-    links = cut(parent_links(df, child, parent))
+    links = parent_links(df, child, parent)
     tops = links.select(F.col("parent").alias("node")).distinct()
-    inner = cut(links.join(tops, "node", "left_semi"))
+    nodes = kept(links.join(tops.withColumn("top", F.lit(True)), "node", "full_outer"))
+    inner = nodes.filter("top and parent is not null").select("node", "parent")
     rings = _rings(inner)
     ways = _ways(inner if rings is None else inner.join(rings.select("node"), "node", "left_anti"))
     own, none = F.array("node"), F.lit("none")
-    upper = tops.join(links, "node", "left_anti").select(
-        "node", F.lit(None).cast(links.schema["parent"].dataType).alias("parent"), F.col("node").alias("root"), own.alias("ids"), none.alias("cycle_state")
-    )
+    upper = nodes.filter("parent is null").select("node", "parent", F.col("node").alias("root"), own.alias("ids"), none.alias("cycle_state"))
     down = F.concat(F.array("to"), "ids").alias("ids")
     if rings is None:
         upper = upper.unionByName(ways.select("node", "parent", F.col("to").alias("root"), down, none.alias("cycle_state")))
@@ -123,7 +122,7 @@ def hierarchy(df: DataFrame, child: str, parent: str, sep: str = ">") -> DataFra
             ways.join(ring, "to", "left").select("node", "parent", F.coalesce("ring", "to").alias("root"), down, state.alias("cycle_state"))
         )
     above = upper.select(F.col("node").alias("parent"), "root", "ids", F.when(F.col("cycle_state") == "on", "below").otherwise(F.col("cycle_state")).alias("cycle_state"))
-    leaves = links.join(tops, "node", "left_anti").join(above, "parent")
+    leaves = nodes.filter("top is null").select("node", "parent").join(above, "parent")
     out = upper.unionByName(leaves.withColumn("ids", F.array_append("ids", F.col("node"))))
     return out.select("node", "parent", "root", (F.size("ids") - 1).cast("long").alias("depth"), F.array_join("ids", sep).alias("path"), "ids", "cycle_state")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.operators.hierarchy import code_key, descendant_pairs, hierarchy
 from factloom.operators.intervals import merge_intervals, partial_date
 from factloom.operators.orphans import Reference, Target, orphan_references, orphan_report
-from factloom.session import cut, table
+from factloom.session import table
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,7 +24,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
     """Descendants of each event, counted and by their greatest distance."""
-    pairs = descendant_pairs(cut(_events(spark, sf)))
+    pairs = descendant_pairs(_events(spark, sf))
     return pairs.groupBy(F.col("ancestor").alias("event_id")).agg(
         F.count("*").alias("n_descendants"), F.max("distance").alias("height")
     )
