@@ -24,6 +24,15 @@ def test_pairs_within(spark):
     assert pairs_within(df.limit(0), ["k"], F.lit(True)).count() == 0
 
 
+def test_pairs_of_a_hot_key_send_a_row_seldom(spark):
+    from factloom.operators import pairs
+
+    df = spark.range(400).select("id", F.lit("hot").alias("k"))
+    left, right = pairs.dealt(df, ["k"], 4, "id")
+    assert left.count() == right.count() == 400 * 10  # 100 cells; one line of cells would send each right row 100 times
+    assert left.join(right, ["k", "__cell"]).select("a_id", "b_id").distinct().count() == left.join(right, ["k", "__cell"]).count() == 400**2
+
+
 def test_components_against_search(spark):
     rng = random.Random(3)
     links = [(f"v{rng.randrange(60):02d}", f"v{rng.randrange(60):02d}") for _ in range(45)] + [("z", "z"), ("y", None)]
